@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, packing, tokenfile
+from thicket.llm import bpe, classifier, ngram_join, packing, rules, tokenfile
 from thicket.storage import scratch_path
 
 
@@ -41,10 +41,36 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *rules.STATS, "base_failed", "kept", "quality")
+
+
+#: Documents whose labels train the classifier; the rest is held out.
+def _learned_from(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
+
+
+def quality_weights(spark: SparkSession, sf_dir: str):
+    return classifier.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _learned_from())
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classifier.score(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return found.select("doc_id", (~_learned_from()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lexical_packing": op2_lexical_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_binary": op6_token_binary,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
