@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, classifier, ngram_join, packing, rules, tokenfile
+from thicket.llm import bpe, classifier, ngram_join, packing, rules, tokenfile, urls
 from thicket.storage import scratch_path
 
 
@@ -41,6 +41,13 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.parse_rules(URL_RULES))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.score(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *rules.STATS, "base_failed", "kept", "quality")
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lexical_packing": op2_lexical_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_binary": op6_token_binary,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard": op10_ngram_jaccard,
