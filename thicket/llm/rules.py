@@ -173,9 +173,10 @@ def score(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
     return table.join(F.broadcast(by), "pattern").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
-def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text passes the base and the
-    posterior. Two narrow passes over the texts, no shuffle of them."""
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, base: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text passes the posterior and,
+    if asked, the base (which fails every short text). Two narrow passes over
+    the texts, no shuffle of them."""
     good = _posterior(stats(docs, text, [])) >= threshold
     at = docs.columns.index(text)
 
@@ -184,7 +185,7 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
             mask = np.zeros(batch.num_rows, bool)
             for chunk in chunks(batch.column(at)):
                 s = text_stats(chunk)
-                mask[chunk.first : chunk.first + len(chunk)] = ~base_failed(s) & good[votes(s)]
+                mask[chunk.first : chunk.first + len(chunk)] = good[votes(s)] & ~(base & base_failed(s))
             yield batch.filter(pa.array(mask))
 
     return docs.mapInArrow(run, docs.schema)
