@@ -73,43 +73,53 @@ def _slice_of(percent: int) -> float:
     return min(1.0, (100 - percent) / 40)
 
 
-def occurrence(docs: DataFrame, words: int, percent: int, n_parts: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n, h`` (set size and hash) of every document, and ``lone``: how
-    many of the looked-at shingles no other class has."""
-    share = _slice_of(percent)
-    top = int(share * 2**32)
+def set_rows(source: DataFrame, words: int) -> DataFrame:
+    """``id, n, h``: size and hash of every document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, _, off, h in _sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(np.diff(off)), pa.array(h)], ["id", "n", "h"])
+
+    return source.mapInArrow(run, "id long, n long, h long")
+
+
+def lone_shingles(source: DataFrame, words: int, percent: int, n_parts: int) -> DataFrame:
+    """``h, lone``: for sets that have any, how many of the looked-at shingles
+    are in no other class."""
+    top = int(_slice_of(percent) * 2**32)
+    n_buckets = max(1, n_parts // 4)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
         def out() -> pa.RecordBatch:
-            ids, n, h, size = (np.concatenate([x[k] for x in held]) for k in range(4))
-            high, low = (np.concatenate([x[k] for x in held]) for k in (4, 5))
-            row = np.repeat(np.arange(len(ids)), size)
-            part = high * n_parts // max(top, 1)
+            h, size, high, low = (np.concatenate([x[k] for x in held]) for k in range(4))
+            row = np.repeat(np.arange(len(h)), size)
+            firsts = np.zeros(len(h), bool)
+            firsts[np.unique(h, return_index=True)[1]] = True
+            once = firsts[row]  # copies go no further than this task
+            row, part, low = row[once], (high * n_parts // max(top, 1))[once], low[once]
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
-            home = (mix64(ids.view(np.uint64)) % _U(n_parts)).astype(np.int64)
             rows = []
             for p in range(n_parts):
                 at = order[cut[p] : cut[p + 1]]
-                count = np.bincount(row[at], minlength=len(ids))
-                here = np.flatnonzero((count > 0) | (home == p))
-                if len(here):
-                    rows.append((p, ids[here].tobytes(), n[here].astype("<i4").tobytes(), h[here].tobytes(), count[here].astype("<i4").tobytes(), low[at].tobytes()))
+                if len(at):
+                    own, count = np.unique(row[at], return_counts=True)
+                    rows.append((p, h[own].tobytes(), count.astype("<u4").tobytes(), low[at].tobytes()))
             held.clear()
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["p", "ids", "ns", "hs", "counts", "low"])
+            kinds = [pa.int32()] + [pa.binary()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["p", "hs", "counts", "low"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for chunk, flat, off, h in _sets(batch.column(1), words):
                 high = (flat >> _U(32)).astype(np.int64)
                 seen = high < top
                 size = np.diff(np.concatenate([[0], np.cumsum(seen)])[off])
                 low = (flat[seen] & _U(0xFFFFFFFF)) ^ (mix64(flat[seen] >> _U(32)) & _U(0xFFFFFFFF))
-                held.append((ids[chunk.first : chunk.first + len(chunk)], np.diff(off), h, size, high[seen], low.astype("<u4")))
+                held.append((h, size, high[seen], low.astype("<u4")))
                 waiting += len(low) + len(chunk)
                 if waiting >= DEAL_SHINGLES:
                     yield out()
@@ -118,25 +128,34 @@ def occurrence(docs: DataFrame, words: int, percent: int, n_parts: int, id_col:
             yield out()
 
     def count(table: pa.Table) -> pa.Table:
-        col = [b"".join(x) for x in (table.column(i).to_pylist() for i in range(1, 6))]
-        ids, h = np.frombuffer(col[0], "<i8"), np.frombuffer(col[2], "<i8")
-        n, size, low = np.frombuffer(col[1], "<i4"), np.frombuffer(col[3], "<i4"), np.frombuffer(col[4], "<u4")
-        firsts = np.zeros(len(ids), bool)
+        hs, counts, lows = (b"".join(x) for x in (table.column(i).to_pylist() for i in range(1, 4)))
+        h, size, low = np.frombuffer(hs, "<i8"), np.frombuffer(counts, "<u4"), np.frombuffer(lows, "<u4")
+        firsts = np.zeros(len(h), bool)
         firsts[np.unique(h, return_index=True)[1]] = True
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        once = np.sort(low[firsts[row]])  # a class counts once
-        start = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.zeros(0, np.int64)
-        single = once[start[np.diff(np.append(start, len(once))) == 1]]
+        keep = np.repeat(firsts, size)  # a class counts once
+        h, size, low = h[firsts], size[firsts], low[keep]
+        every = np.sort(low)
+        start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        single = every[start[np.diff(np.append(start, len(every))) == 1]]
         if len(single):
             alone = single[np.minimum(np.searchsorted(single, low), len(single) - 1)] == low
         else:
             alone = np.zeros(len(low), bool)
-        return pa.table({"id": ids, "n": n.astype(np.int64), "h": h, "lone": np.bincount(row, alone, len(ids)).astype(np.int64)})
+        lone = np.bincount(np.repeat(np.arange(len(h)), size), alone, len(h)).astype("<i4")
+        h, lone = h[lone > 0], lone[lone > 0]
+        bucket = (mix64(h.view(np.uint64)) % _U(n_buckets)).astype(np.int64)
+        rows = [(b, h[bucket == b].tobytes(), lone[bucket == b].tobytes()) for b in np.unique(bucket).tolist()]
+        cols = zip(*rows) if rows else [()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.binary(), pa.binary()])], ["b", "hs", "lone"])
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
-    dealt = source.mapInArrow(deal, "p int, ids binary, ns binary, hs binary, counts binary, low binary")
-    counted = dealt.groupBy("p").applyInArrow(count, "id long, n long, h long, lone long")
-    return counted.groupBy("id", "n", "h").agg(F.sum("lone").alias("lone"))
+    def total(table: pa.Table) -> pa.Table:
+        h, lone = (np.frombuffer(b"".join(table.column(i).to_pylist()), k) for i, k in ((1, "<i8"), (2, "<i4")))
+        own, at = np.unique(h, return_inverse=True)
+        return pa.table({"h": own, "lone": np.bincount(at, lone, len(own)).astype(np.int64)})
+
+    dealt = source.mapInArrow(deal, "p int, hs binary, counts binary, low binary")
+    counted = dealt.groupBy("p").applyInArrow(count, "b int, hs binary, lone binary")
+    return counted.groupBy("b").applyInArrow(total, "h long, lone long")
 
 
 def part_keys(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,12 +311,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, math.ceil(size * _slice_of(percent) / 6 / PART_SHINGLES))
-    found = materialize(occurrence(source, words, percent, n_parts, "id"), "occurrence")
-    found = found.groupBy("id").agg(F.min(F.struct("h", "n", "lone")).alias("s")).select("id", "s.n", "s.h", "s.lone")
-    classes = found.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("rep"), F.max("lone").alias("lone"))
+    found = materialize(set_rows(source, words), "set-rows")
+    found = found.groupBy("id").agg(F.min(F.struct("h", "n")).alias("s")).select("id", "s.n", "s.h")
+    classes = materialize(found.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("rep")), "classes")
 
+    lone = lone_shingles(source, words, percent, n_parts)
     allowed = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
-    alive = materialize(classes.where((F.col("lone") <= allowed) & (F.col("n") > 0)).select("rep", F.col("h").alias("want")), "alive")
+    alive = classes.join(lone, "h", "left").where(F.coalesce("lone", F.lit(0)) <= allowed)
+    alive = materialize(alive.select("rep", F.col("h").alias("want")), "alive")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +327,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 rows = pa.RecordBatch.from_arrays([batch.column(0)[s], binary_rows(flat, off)], ["rep", "hashes"])
                 yield rows.filter(pa.array(h == batch.column(2)[s].to_numpy()))
 
-    sets = source.join(alive, source.id == alive.rep).select("id", "text", "want").mapInArrow(make, "rep long, hashes binary")
+    # What is alive grows with the corpus, so it is merged, never broadcast.
+    sets = source.join(alive.hint("merge"), source.id == alive.rep).select("id", "text", "want").mapInArrow(make, "rep long, hashes binary")
     sets = materialize(sets, "sets")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +355,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(_search(percent), "a long, b long")
     joined = components(links)
 
-    named = classes.select("n", "h", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", F.coalesce("root", "rep").alias("component_id"))
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", F.coalesce("root", "rep").alias("component_id"))
+    named = materialize(named, "named")  # so that a class of many copies can be split in the join
     return found.join(named, ["n", "h"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
