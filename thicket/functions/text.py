@@ -89,7 +89,7 @@ def json_bytes(text: Column) -> Column:
     """Bytes of JSON text once ``<``, ``>``, ``&`` and the two line separators
     are written as escapes of six."""
     count = lambda pattern: F.length(F.regexp_replace(text, f"[^{pattern}]", ""))
-    return F.octet_length(text) + 5 * count("<>&") + 3 * count("  ")
+    return F.octet_length(text) + 5 * count("<>&") + 3 * count("\u2028\u2029")
 
 
 def sha256_hex(text: Column) -> Column:

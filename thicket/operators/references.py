@@ -20,13 +20,14 @@ def innermost(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     Null where no symbol does. An equi-join on the file, with the interval as
     its residual condition."""
     line, char = F.col("line"), F.col("char")
+    span = ["start_line", "start_char", "end_line", "end_char"]
     sym = symbols.select(
-        F.col("file").alias("_file"), "node_id", "kind", "name_path", "first_line", "last_line", "ord_path", "anc", "start_line", "start_char", "end_line", "end_char"
+        F.col("file").alias("_file"), "node_id", "kind", "name_path", "first_line", "last_line", F.col("ord_path").alias("_path"), F.col("anc").alias("_anc"), *(F.col(c).alias(f"_{c}") for c in span)
     )
-    holds = position_in(line, char, *(F.col(c) for c in ("start_line", "start_char", "end_line", "end_char")))
-    chain = F.forall("anc", lambda r: position_in(line, char, r["sl"], r["sc"], r["el"], r["ec"]))
-    found = refs.join(sym, (F.col("file") == F.col("_file")) & holds & chain).select(
-        "ref_id", "node_id", "kind", "name_path", "first_line", "last_line", F.array_append("ord_path", F.lit(_LAST)).alias("_order")
+    holds = position_in(line, char, *(F.col(f"_{c}") for c in span))
+    chain = F.forall("_anc", lambda r: position_in(line, char, r["sl"], r["sc"], r["el"], r["ec"]))
+    found = refs.select("ref_id", "file", "line", "char").join(sym, (F.col("file") == F.col("_file")) & holds & chain).select(
+        "ref_id", "node_id", "kind", "name_path", "first_line", "last_line", F.array_append("_path", F.lit(_LAST)).alias("_order")
     )
     best = Window.partitionBy("ref_id").orderBy("_order")
     one = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).drop("_n", "_order")

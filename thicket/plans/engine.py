@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.paths import alias_pattern, constant_pattern, extension, kind_filter, rust_export, scope_filter
 from thicket.functions.text import lines_of
-from thicket.model import FILE_KIND, FindRequest, OverviewRequest, ReferencesRequest, SafeError, internal_error, unsupported_extension
+from thicket.model import FindRequest, OverviewRequest, ReferencesRequest, SafeError, internal_error, unsupported_extension
 from thicket.operators import combine, references, search, shape
 from thicket.plans.adapters import ADAPTERS, Adapter
 from thicket.sources.workspace import adapter_of_file, register
@@ -180,9 +180,6 @@ class Engine:
         ).select(F.col("seq").cast("long").alias("ref_id"), F.col("ref_file").alias("file"), "line", "char", "end_line")
         found = references.with_evidence(references.innermost(refs, self.symbols), self.files, F.col("end_line"))
         found = references.with_file_fallback(found, self.files.select("file", F.size(lines_of(F.col("content"))).alias("n_lines")))
-        # A reference to the file itself spans all its lines.
-        lost = F.col("kind") == FILE_KIND
-        found = found.withColumn("content_end", F.when(lost & F.col("node_id").isNull(), F.col("content_end")).otherwise(F.col("content_end")))
         kept = references.keep_kinds(found, request.include_kinds, request.exclude_kinds)
         out = references.grouped(kept, ["content_start", "content_end", "content"])
         return out.withColumn("name_path", rust_export(F.col("name_path"))) if adapter.export_rust else out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from thicket.model import KIND
 
 # What a top-level constant and a re-export look like.
-CONSTANT = r"^\s*const\s+([A-Za-z_-￿][A-Za-z0-9_-￿]*)(?![A-Za-z0-9_])"
+CONSTANT = r"^\s*const\s+([A-Za-z_\x{80}-\x{10ffff}][A-Za-z0-9_\x{80}-\x{10ffff}]*)(?![A-Za-z0-9_])"
 REEXPORT = re.compile(r"""export(?:\s+type)?\s*\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]\s*;""", re.S | re.A)
 SPECIFIER = re.compile(r"\s*([$A-Za-z_][\w$]*)(?:\s+as\s+([$A-Za-z_][\w$]*))?\s*\Z", re.A)
 
