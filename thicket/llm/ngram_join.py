@@ -366,5 +366,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     """The rows of ``docs``, all columns, that name their component: one
     document of each group of near duplicates. Rows without an id stay."""
     groups = near_duplicates(docs, words, percent, id_col, text)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_thicket_gone"))
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_thicket_gone"), "left_anti")
