@@ -93,9 +93,27 @@ def test_json_shapes(spark):
     assert shape.references_json(empty).first().json == '{"files":[]}'
     assert shape.references_json(empty, incomplete=True).first().json == '{"files":[],"incomplete":true}'
     kinds = spark.createDataFrame([(1, 6, "a", 14, 14), (2, 12, "b", 34, 39), (3, 6, "c", 29, 31)], "rank int, kind int, name_path string, first_line int, last_line int")
-    assert json.loads(shape.overview_json(kinds).first().json) == {"groups": [{"kind": 6, "symbols": [{"path": "a", "range": "14"}, {"path": "c", "range": "29-31"}]}, {"kind": 12, "symbols": [{"path": "b", "range": "34-39"}]}]}
+    assert json.loads(shape.overview_json(shape.overview_items(kinds)).first().json) == {"groups": [{"kind": 6, "symbols": [{"path": "a", "range": "14"}, {"path": "c", "range": "29-31"}]}, {"kind": 12, "symbols": [{"path": "b", "range": "34-39"}]}]}
 
 
 def test_percent(spark):
     r = spark.range(1).select(*[shape.returned_percent(F.lit(a), F.lit(b)).alias(n) for n, a, b in (("x", 1, 200), ("y", 99, 99), ("z", 0, 9))]).first()
     assert (r.x, r.y, r.z) == (1, 99, 0)
+
+
+def test_outline_budget_cuts_groups_in_order(spark):
+    rows = [(i + 1, [6, 12, 5][i % 3], f"n{i}", i, i + i % 2) for i in range(9)]
+    items = shape.overview_items(spark.createDataFrame(rows, "rank int, kind int, name_path string, first_line int, last_line int"))
+    order = [r for k in (6, 12, 5) for r in rows if r[1] == k]
+    for budget in (75, 120, 200, 5000):
+        best = 0
+        for n in range(10):
+            groups = []
+            for _, kind, path, a, b in order[:n]:
+                if not groups or groups[-1]["kind"] != kind:
+                    groups.append({"kind": kind, "symbols": []})
+                groups[-1]["symbols"].append({"path": path, "range": str(a) if a == b else f"{a}-{b}"})
+            if go_json({"groups": groups}) <= budget:
+                best, want = n, groups
+        kept, percent = shape.limited_overview(items, budget)
+        assert json.loads(shape.overview_json(kept, percent).first().json) == {"groups": want} | ({"returned_percent": 100 * best // 9} if best < 9 else {})

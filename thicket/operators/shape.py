@@ -23,11 +23,19 @@ def kind_groups(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "kind", group.alias("group_rank"), pos.alias("pos"), F.col("name_path").alias("path"), range_text(F.col("first_line"), F.col("last_line")).alias("range"))
 
 
-def overview_json(rows: DataFrame) -> DataFrame:
-    item = F.struct("rank", F.struct(F.col("name_path").alias("path"), range_text(F.col("first_line"), F.col("last_line")).alias("range")).alias("s"))
-    groups = rows.groupBy("kind").agg(F.array_sort(F.collect_list(item)).alias("v"))
+def overview_items(rows: DataFrame) -> DataFrame:
+    """An outline's rows in the order they are sent, group after group: this
+    ``rank`` decides what a budget cuts off."""
+    groups = kind_groups(rows)
+    return groups.withColumn("rank", F.row_number().over(Window.orderBy("group_rank", "pos")))
+
+
+def overview_json(items: DataFrame, percent: int | None = None) -> DataFrame:
+    per = items.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("path", "range").alias("s")))).alias("v"))
     group = F.struct(F.element_at("v", 1).getField("rank").alias("r"), F.struct("kind", F.transform("v", lambda x: x["s"]).alias("symbols")).alias("g"))
-    return groups.agg(F.array_sort(F.collect_list(group)).alias("v")).select(F.to_json(F.struct(F.transform("v", lambda x: x["g"]).alias("groups"))).alias("json"))
+    every = per.agg(F.array_sort(F.collect_list(group)).alias("v"))
+    fields = [F.transform("v", lambda x: x["g"]).alias("groups"), F.lit(percent).cast("int").alias("returned_percent")]
+    return every.select(F.to_json(F.struct(*fields)).alias("json"))
 
 
 def found_item() -> Column:
@@ -69,6 +77,7 @@ def within_budget(rows: DataFrame, item: Column, budget: int, envelope: int, gro
     return sized.where(F.col("size") <= budget).drop("_add")
 
 
+OVERVIEW_ENVELOPE = len('{"groups":[]}')
 FOUND_ENVELOPE = len('{"symbols":[]}')
 FILES_ENVELOPE = len('{"files":[]}')
 INCOMPLETE_BYTES = len(',"incomplete":true')
@@ -78,6 +87,16 @@ def file_frame(file: Column) -> Column:
     return json_bytes(F.to_json(F.struct(file.alias("file"), F.array().cast("array<int>").alias("symbols"))))
 
 
+def kind_frame(kind: Column) -> Column:
+    return json_bytes(F.to_json(F.struct(kind.alias("kind"), F.array().cast("array<int>").alias("symbols"))))
+
+
+def limited_overview(items: DataFrame, budget: int) -> tuple[DataFrame, int | None]:
+    """``items`` as ``overview_items`` ranks them."""
+    fits = within_budget(items, F.struct("path", "range"), budget, OVERVIEW_ENVELOPE, "kind", kind_frame(F.col("kind")))
+    return _limited(items, fits, budget, OVERVIEW_ENVELOPE)
+
+
 def limited_found(ranked: DataFrame, budget: int) -> tuple[DataFrame, int | None]:
     """The rows that fit, and the percentage if some do not."""
     return _limited(ranked, within_budget(ranked, found_item(), budget, FOUND_ENVELOPE), budget, FOUND_ENVELOPE)

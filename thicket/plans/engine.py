@@ -108,20 +108,8 @@ class Engine:
 
     @public
     def overview_json(self, request: OverviewRequest) -> str:
-        rows = self.overview(request)
-        text = shape.overview_json(rows).first().json
-        if self.budget <= 0 or len(text.encode()) <= self.budget:
-            return text
-        # Groups make sizes depend on kinds; results are small, so halve.
-        total, low, high = rows.count(), 0, rows.count()
-        while low < high:
-            mid = (low + high + 1) // 2
-            fits = len(shape.overview_json(rows.where(F.col("rank") <= mid)).first().json.encode()) <= self.budget
-            low, high = (mid, high) if fits else (low, mid - 1)
-        if not low:
-            raise SafeError(shape.TOO_LARGE)
-        cut = shape.overview_json(rows.where(F.col("rank") <= low)).first().json
-        return cut[:-1] + f',"returned_percent":{min(99, max(1, 100 * low // total))}}}'
+        items, percent = shape.limited_overview(shape.overview_items(self.overview(request)), self.budget)
+        return shape.overview_json(items, percent).first().json
 
     # -- find ---------------------------------------------------------------
 
