@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm._words import tidy
 from thicket.storage import materialize
 
 
@@ -75,7 +76,7 @@ def contract(edges: DataFrame) -> DataFrame:
                 sets = UnionFind()
         yield out()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

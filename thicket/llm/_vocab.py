@@ -17,7 +17,7 @@ import numpy as np
 from thicket.llm._pretok import token_starts
 from thicket.llm._words import Chunk, segment_hash
 
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 
 
 class CachedEncoder:

@@ -8,11 +8,13 @@ is longer) whatever the table holds.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 19
 
@@ -34,6 +36,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+#: Rows of a batch between the JVM and Python; bytes as well where Spark heeds it.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """A function for ``mapInArrow`` that keeps workers small: batches are
+    short (texts may be long), and what one has freed goes before the next."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        yield from run(each())
+
+    return tidied
+
+
 class Chunk:
     """Consecutive rows of a column: UTF-8 bytes and row offsets into them."""
 

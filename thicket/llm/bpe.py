@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import rank_encoder, vocabulary_bytes
-from thicket.llm._words import chunks
+from thicket.llm._words import chunks, tidy
 
 
 def binary_rows(flat: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -54,7 +54,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: Sequence[
                 cols += [binary_rows(ids.astype("<u4"), rows), binary_rows(local.astype("<u4"), j)]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "ids", "starts"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, _out_schema(docs, keep, "ids binary, starts binary"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(tidy(run), _out_schema(docs, keep, "ids binary, starts binary"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -77,4 +77,4 @@ def decode(encoded: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",
                 cols = [part.column(i) for i in range(len(keep))] + [part.column(len(keep)), binary_rows(out, end[rows - rows[0]])]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "ids", "bytes"])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in keep], "ids").mapInArrow(run, _out_schema(encoded, keep, "ids binary, bytes binary"))
+    return encoded.select(*[F.col(f"`{c}`") for c in keep], "ids").mapInArrow(tidy(run), _out_schema(encoded, keep, "ids binary, bytes binary"))

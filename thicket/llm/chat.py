@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import library_encoder
-from thicket.llm._words import chunks
+from thicket.llm._words import chunks, tidy
 
 BUDGET, HISTORY = 2048, 256
 TURN_TOKENS = 8  # for the marks of a turn, about
@@ -170,7 +170,7 @@ def format_conversations(
 
     cols = [F.col(f"`{c}`") for c in (id_col, turn, role, text)]
     ordered = turns.select(*(c.alias(a) for c, a in zip(cols, ("_id", "_turn", "_role", "_text")))).repartition("_id").sortWithinPartitions("_id", "_turn", "_role", "_text")
-    return ordered.select("_id", "_role", "_text").mapInArrow(run, f"`{id_col}` {kind}, {WINDOW_SCHEMA}")
+    return ordered.select("_id", "_role", "_text").mapInArrow(tidy(run), f"`{id_col}` {kind}, {WINDOW_SCHEMA}")
 
 
 def parse_window(text: str) -> list[tuple[str, str]]:
@@ -217,4 +217,4 @@ def digests(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
             yield flush()
 
     schema = f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return windows.select(F.col(f"`{id_col}`"), "n_context", "text", "loss_start", "loss_end").mapInArrow(run, schema)
+    return windows.select(F.col(f"`{id_col}`"), "n_context", "text", "loss_start", "loss_end").mapInArrow(tidy(run), schema)

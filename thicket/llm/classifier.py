@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._words import Chunk, Words, chunks, mix64, segment_hash
+from thicket.llm._words import Chunk, Words, chunks, mix64, segment_hash, tidy
 
 BITS = 18
 TRAIN_DOCS = 8_000
@@ -118,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quali
                 model.learn(f, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    found = rows.select("_id", "_text", F.col("_y").cast("int")).mapInArrow(extract, "k long, y int, f binary, x binary")
-    one = found.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "f").mapInArrow(learn, "w binary").collect()
+    found = rows.select("_id", "_text", F.col("_y").cast("int")).mapInArrow(tidy(extract), "k long, y int, f binary, x binary")
+    one = found.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "f").mapInArrow(tidy(learn), "w binary").collect()
     return np.frombuffer(one[0].w, "<f4") if one else np.zeros((1 << bits) + 1, "<f4")
 
 
@@ -152,7 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: Sequen
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(chunk_scores(chunk, shared.value, bits))], [*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float, text: str = "text", bits: int = BITS) -> DataFrame:
@@ -164,4 +164,4 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float, text: str
             mask = [chunk_scores(chunk, shared.value, bits) >= threshold for chunk in chunks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(mask) if mask else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._words import Chunk, Words, chunks, shingles
+from thicket.llm._words import Chunk, Words, chunks, shingles, tidy
 
 THRESHOLD = 0.9
 #: Notices as their licences ask for, and short forms in use.
@@ -107,4 +107,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(name, pa.string()), pa.array(dice, pa.float64()), pa.array(units, pa.int64())], [*keep, "license", "dice", "n_units"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "license string, dice double, n_units long"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(tidy(run), schema)

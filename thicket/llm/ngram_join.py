@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._components import UnionFind, components
-from thicket.llm._words import Words, chunks, distinct_per_row, mix64, shingles
+from thicket.llm._words import Words, chunks, distinct_per_row, mix64, shingles, tidy
 from thicket.llm.bpe import binary_rows
 from thicket.storage import materialize
 
 WORDS, PERCENT = 5, 80
 DEAL_SHINGLES = 1 << 20  # that a task deals out at a time
-PART_SHINGLES = 1 << 22  # that a task of the occurrence filter holds, about
+PART_SHINGLES = 1 << 21  # that a task of the occurrence filter holds, about
 BLOCK = 1024  # sets of a block of a large cluster
 _U = np.uint64
 
@@ -81,7 +81,7 @@ def set_rows(source: DataFrame, words: int) -> DataFrame:
             for chunk, _, off, h in _sets(batch.column(1), words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(np.diff(off)), pa.array(h)], ["id", "n", "h"])
 
-    return source.mapInArrow(run, "id long, n long, h long")
+    return source.mapInArrow(tidy(run), "id long, n long, h long")
 
 
 def lone_shingles(source: DataFrame, words: int, percent: int, n_parts: int) -> DataFrame:
@@ -153,7 +153,7 @@ def lone_shingles(source: DataFrame, words: int, percent: int, n_parts: int) ->
         own, at = np.unique(h, return_inverse=True)
         return pa.table({"h": own, "lone": np.bincount(at, lone, len(own)).astype(np.int64)})
 
-    dealt = source.mapInArrow(deal, "p int, hs binary, counts binary, low binary")
+    dealt = source.mapInArrow(tidy(deal), "p int, hs binary, counts binary, low binary")
     counted = dealt.groupBy("p").applyInArrow(count, "b int, hs binary, lone binary")
     return counted.groupBy("b").applyInArrow(total, "h long, lone long")
 
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 yield rows.filter(pa.array(h == batch.column(2)[s].to_numpy()))
 
     # What is alive grows with the corpus, so it is merged, never broadcast.
-    sets = source.join(alive.hint("merge"), source.id == alive.rep).select("id", "text", "want").mapInArrow(make, "rep long, hashes binary")
+    sets = source.join(alive.hint("merge"), source.id == alive.rep).select("id", "text", "want").mapInArrow(tidy(make), "rep long, hashes binary")
     sets = materialize(sets, "sets")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +340,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 k, owner = part_keys(np.concatenate(some), np.cumsum([0, *map(len, some)]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(rep[lo + owner])], ["key", "rep"])
 
-    keyed = sets.select("rep", "hashes").mapInArrow(keys, "key long, rep long")
-    stars = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
+    keyed = sets.select("rep", "hashes").mapInArrow(tidy(keys), "key long, rep long")
+    stars = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_stars), "a long, b long")
     clusters = materialize(components(stars), "clusters")
 
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "rep", "block"
     )
     work = tasks.join(sets, "rep").select("root", "i", "j", "rep", "block", "hashes")
-    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(_search(percent), "a long, b long")
+    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(tidy(_search(percent)), "a long, b long")
     joined = components(links)
 
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", F.coalesce("root", "rep").alias("component_id"))

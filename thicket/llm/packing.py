@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import library_encoder
-from thicket.llm._words import chunks
+from thicket.llm._words import chunks, tidy
 from thicket.llm.bpe import binary_rows
 from thicket.storage import materialize
 
@@ -79,7 +79,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
                 [pa.nulls(n, schema.field(0).type), pa.nulls(n, pa.binary()), pa.array(np.append(terms, -1)), pa.array(np.append(df[terms], total))], ["id", "ids", "term", "n"]
             )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, ids binary, term long, n long")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(tidy(run), f"id {kind}, ids binary, term long, n long")
 
 
 class _Index:
@@ -181,7 +181,7 @@ def _pack(tokens: DataFrame, idf: np.ndarray, mean: float, id_col: str, window:
             yield flush()
 
     return tokens.where(F.col("ids").isNotNull()).select("id", "ids").mapInArrow(
-        run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(run), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

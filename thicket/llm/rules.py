@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._words import SPACE, Chunk, Words, chunks, mix64, segment_hash, shingles
+from thicket.llm._words import SPACE, Chunk, Words, chunks, mix64, segment_hash, shingles, tidy
 from thicket.storage import materialize
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -159,7 +159,7 @@ def stats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *STATS, "base_failed", "pattern"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{k} long" for k in STATS), "base_failed boolean", "pattern int"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(tidy(run), schema)
 
 
 def _posterior(patterns: DataFrame) -> np.ndarray:
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD,
                 mask[chunk.first : chunk.first + len(chunk)] = good[votes(s)] & ~(base & base_failed(s))
             yield batch.filter(pa.array(mask))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
