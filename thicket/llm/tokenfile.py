@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import library_encoder
-from thicket.llm._words import chunks
+from thicket.llm._words import chunks, tidy
 from thicket.llm.bpe import binary_rows
 from thicket.llm.packing import append_end
 
@@ -97,8 +97,10 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def train(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text: str, sample_docs: int, sample_chars: int, dict_bytes: int) -> bytes:
     """A dictionary, or none where the sample is too small for one."""
+    keys = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k"))
+    least = [r.k for r in keys.orderBy("k").limit(sample_docs).collect()]  # the keys alone decide, so tasks send no text
     cut = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k"), F.substring(F.coalesce(F.col(f"`{text}`"), F.lit("")), 1, sample_chars).alias("t"))
-    sample = [r.t for r in cut.orderBy("k", "t").limit(sample_docs).collect()]
+    sample = [r.t for r in cut.where(F.col("k") <= least[-1]).orderBy("k", "t").limit(sample_docs).collect()] if least else []
     raw = []
     for chunk in chunks(pa.array(sample, pa.large_string())):
         ids, rows, _ = library_encoder(tokenizer_path).encode(chunk)
@@ -152,7 +154,7 @@ def write(
             yield flush()
 
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(run, "part int, seg int, first_id long, n_docs long, n_ids long, ids_before long, image binary").write.parquet(f"{path}/segments")
+    ordered.mapInArrow(tidy(run), "part int, seg int, first_id long, n_docs long, n_ids long, ids_before long, image binary").write.parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
@@ -178,4 +180,4 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 flat = np.concatenate(ids).astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(name, mask=name == NO_ID), pa.array(first + before[:-1]), binary_rows(flat, before)], [id_col, "start", "ids"])
 
-    return segments.select("part", "ids_before", "image").mapInArrow(run, f"`{id_col}` long, start long, ids binary")
+    return segments.select("part", "ids_before", "image").mapInArrow(tidy(run), f"`{id_col}` long, start long, ids binary")
