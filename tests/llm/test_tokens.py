@@ -62,6 +62,24 @@ def expected_ids(texts):
     return {i: e.ids for i, e in zip(texts, Tokenizer.from_file(JSON).encode_batch([t or "" for t in texts.values()], add_special_tokens=False))}
 
 
+def test_added_tokens_equal_the_library(spark):
+    """Their text counts as one token, as in the library; op4's ranks know none."""
+    rng, mark = random.Random(6), "<|endoftext|>"
+    texts = ["".join(rng.choice([mark, mark[:5], mark[5:], "a", " b", "\n", "é😀", "<|"]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    texts += ["", mark, "x" + mark[:5], mark[5:] + "y", mark * 3, f"a{mark}b"]
+    want, enc = expected_ids(dict(enumerate(texts))), _vocab.library_encoder(JSON)
+    for c in chunks(pa.array(texts), 4096):
+        ids, rows, _ = enc.encode(c)
+        for i in range(len(c)):
+            assert ids[rows[i] : rows[i + 1]].tolist() == want[c.first + i]
+    assert want[len(texts) - 1] == [64, 50256, 65]
+    df = spark.createDataFrame([(1, f"a{mark}b"), (2, "plain")], "doc_id long, text string")
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(df, JSON).collect()}[1] == 4
+    path = scratch_path(spark, "t")
+    tokenfile.write(df, path, JSON, end_id=2)
+    assert np.frombuffer(tokenfile.read(spark, path).orderBy("start").first().ids, "<u4").tolist() == [64, 50256, 65, 2]
+
+
 def test_packing_places_every_id_once(spark, odd_docs, no_docs):
     pieces = packing.pack(odd_docs.where("doc_id < 50"), JSON, end_id=1, window=64, shard_docs=5).collect()
     want = expected_ids({r.doc_id: r.text for r in odd_docs.where("doc_id < 50").collect()})

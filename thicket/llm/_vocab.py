@@ -182,11 +182,49 @@ def _byte_letters() -> str:
     return "".join(out)
 
 
+class LibraryEncoder(CachedEncoder):
+    """Slices are encoded by the model of a tokenizers file. The library also
+    looks for the file's added tokens, before it cuts slices and in every text;
+    rows that hold one are left to the library's own ``encode``."""
+
+    def __init__(self, tokenizer, slots: int = SLOTS):
+        model, letters = tokenizer.model, _byte_letters()
+        super().__init__(lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))], slots)
+        self.tokenizer = tokenizer
+        self.added = sorted({t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()} - {b""})
+
+    def _holding(self, chunk: Chunk) -> list[int]:
+        """Rows in which an added token's text stands."""
+        raw, rows = chunk.buf.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(chunk.off, at, side="right")) - 1
+                if at + len(token) <= chunk.off[row + 1]:
+                    rows.add(row)
+                    at = raw.find(token, int(chunk.off[row + 1]))
+                else:  # across rows
+                    at = raw.find(token, at + 1)
+        return sorted(rows)
+
+    def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As above; slices start as if there were no added tokens."""
+        ids, rows, start = super().encode(chunk)
+        odd = self._holding(chunk)
+        if not odd:
+            return ids, rows, start
+        sizes, parts, done = np.diff(rows), [], 0
+        for i in odd:
+            own = self.tokenizer.encode(chunk.text(i).decode("utf-8"), add_special_tokens=False).ids
+            parts += [ids[rows[done] : rows[i]], np.array(own, ids.dtype)]
+            sizes[i], done = len(own), i + 1
+        parts.append(ids[rows[done] :])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), start
+
+
 @lru_cache(4)
-def library_encoder(path: str) -> CachedEncoder:
-    """Slices are encoded by the tokenizers library's model in the file."""
+def library_encoder(path: str) -> LibraryEncoder:
+    """One per Python worker and tokenizer file."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
-    letters = _byte_letters()
-    return CachedEncoder(lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))])
+    return LibraryEncoder(Tokenizer.from_file(path))
