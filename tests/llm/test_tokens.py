@@ -106,6 +106,30 @@ def test_packing_prefers_lexical_neighbours():
     assert [d for d, *_ in out] == [0, 2, 1, 3]
 
 
+def test_packing_reaches_neighbours_far_apart_in_the_file(spark):
+    rng = random.Random(9)
+    rows = []
+    for copy in range(2):
+        for g in range(150):
+            if not copy:
+                rows.append(" ".join(rng.choice("river stone cloud seven paper under light green table music window north carry answer".split()) + str(rng.randint(0, 99)) for _ in range(12)))
+            else:
+                rows.append(rows[g] if g % 2 else rows[g] + " more")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    at = {}
+    for p in packing.pack(df, JSON, window=128, shard_docs=16).collect():
+        at.setdefault(p.doc_id, set()).add(p.sequence_id)
+    together = [bool(at[g] & at[150 + g]) for g in range(150)]
+    assert sum(together[1::2]) >= 0.9 * 75 and sum(together[::2]) >= 0.7 * 75
+
+
+def test_content_keys_order_copies_together():
+    orders, bits = packing.content_orders(np.linspace(0.1, 9, 1 << 16))
+    ids, rows = np.array([5, 60_000, 7, 9, 60_000, 5, 7, 1]), np.array([0, 3, 4, 7, 8])
+    keys = packing.content_keys(ids, rows, orders, bits)
+    assert keys[0] == keys[2] and len(set(keys.tolist())) == 3
+
+
 def test_token_files(spark, odd_docs, no_docs):
     path = scratch_path(spark, "t")
     tokenfile.write(odd_docs, path, JSON, end_id=2, segment_ids=500)

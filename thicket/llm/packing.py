@@ -2,13 +2,19 @@
 
 Documents become token ids once, in a table in the shared folder, together with
 each token's document frequency over the whole corpus (at most one row a token
-of the vocabulary, so collecting it is bounded). Blocks of consecutive rows are
-the shards: each holds a BM25 inverted index of its documents, one list a term
-with the weight in every document of the shard (dense, as a shard is small).
-A seed document opens a window; its best-scored unused neighbours fill it; the
-one that does not fit is cut, and its rest seeds the next window. A window left
-open at a shard's end is filled from the next shard of the task, so a task pads
-one window at most. Nothing is shuffled but the frequencies.
+of the vocabulary, so collecting it is bounded). Then they are dealt by content:
+tokens are put in a few random orders in which rare ones tend to come first (the
+chance is the square of their idf), and a document's key is its first token in
+each. Two documents agree in one with the probability of their weighted overlap,
+so in the order of keys over the whole corpus copies are neighbours and like
+texts are near. Blocks of consecutive documents in that order are the shards:
+each holds a BM25 inverted index of its documents, one list a term with the
+weight in every document of the shard (dense, as a shard is small). A seed
+document opens a window; its best-scored unused neighbours fill it; the one that
+does not fit is cut, and its rest seeds the next window. A window left open at a
+shard's end is filled from the next shard of the task, so a task pads one window
+at most. Token ids are shuffled once. Neighbours are scored within a shard, so
+one that the keys did not bring near is not reached; README has the share.
 
 Null texts are empty documents: they hold their end id alone. Repeated rows are
 documents of their own. A document longer than a window fills windows of its
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import library_encoder
-from thicket.llm._words import chunks, tidy
+from thicket.llm._words import chunks, mix64, tidy
 from thicket.llm.bpe import binary_rows
 from thicket.storage import materialize
 
@@ -147,6 +153,48 @@ class WindowPacker:
         return out
 
 
+def content_orders(idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of all tokens in each random order, and the bits a place takes."""
+    bits = max(16, (len(idf) - 1).bit_length())
+    token, weight = np.arange(len(idf), dtype=np.uint64), np.maximum(idf, 1e-9) ** 2
+    out = np.empty((64 // bits, len(idf)), np.int64)
+    for k, row in enumerate(out):
+        u = ((mix64(token ^ mix64(np.full(1, k + 1, np.uint64))) >> np.uint64(11)) + 1.0) / 2.0**53
+        row[np.argsort(-np.log(u) / weight, kind="stable")] = np.arange(len(idf))
+    return out, bits
+
+
+def content_keys(ids: np.ndarray, rows: np.ndarray, orders: np.ndarray, bits: int) -> np.ndarray:
+    """A key for each document; none may be without ids."""
+    key = np.zeros(len(rows) - 1, np.uint64)
+    for order in orders:
+        key = (key << np.uint64(bits)) | np.minimum.reduceat(order[ids], rows[:-1]).astype(np.uint64)
+    return (key ^ np.uint64(1 << 63)).view(np.int64)  # signed values in the same order
+
+
+def _deal(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``id`` and ``ids`` of all documents, partitions and rows in the order of content."""
+    kind = dict(tokens.dtypes)["id"]
+    shared = tokens.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, bits = content_orders(shared.value)
+        width = "<u4" if len(shared.value) > 1 << 16 else "<u2"
+        for batch in batches:
+            raw, keys = [np.frombuffer(x.as_buffer(), width) for x in batch.column(1)], []
+            for lo in range(0, len(raw), 256):
+                some = raw[lo : lo + 256]
+                keys.append(content_keys(np.concatenate(some), np.cumsum([0, *map(len, some)]), orders, bits))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(keys))], ["id", "ids", "key"])
+
+    keyed = tokens.where(F.col("ids").isNotNull()).select("id", "ids").mapInArrow(tidy(run), f"id {kind}, ids binary, key long")
+    # The row number parts large groups of copies among tasks.
+    order = ["key", "same", "row"]
+    keyed = keyed.withColumn("same", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
+
+
 def _pack(tokens: DataFrame, idf: np.ndarray, mean: float, id_col: str, window: int, shard_docs: int) -> DataFrame:
     kind = dict(tokens.dtypes)["id"]
     shared = tokens.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary
@@ -180,7 +228,7 @@ def _pack(tokens: DataFrame, idf: np.ndarray, mean: float, id_col: str, window:
         if docs:
             yield flush()
 
-    return tokens.where(F.col("ids").isNotNull()).select("id", "ids").mapInArrow(
+    return tokens.mapInArrow(
         tidy(run), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
@@ -199,4 +247,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "d
         else:
             df[r.term] = r.n
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    return _pack(table, idf, total / max(n_docs, 1), id_col, window, shard_docs)
+    return _pack(_deal(table, idf), idf, total / max(n_docs, 1), id_col, window, shard_docs)
