@@ -191,6 +191,63 @@ def plain_dice(unit, template):
     return 2 * len(grams[0] & grams[1]) / max(1, len(grams[0]) + len(grams[1]))
 
 
+def test_license_scan_of_official_layouts(spark):
+    """Headers and files as laid out, with blank lines and comment marks."""
+    from thicket.llm._license_texts import NOTICES, TEXTS
+
+    code = "\n\n".join(f"def f{i}(x):\n    return x + {i} * other_{i}(x)" for i in range(40))
+
+    def marked(text, mark):
+        return "\n".join(f"{mark} {x}".rstrip() for x in text.strip().split("\n"))
+
+    texts, want = [], []
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense"):
+        for mark in ("", "#", " *", "//"):
+            texts.append(f"{marked('Copyright (c) 2020 A. Body', mark)}\n{mark}\n{marked(TEXTS[name], mark)}\n\n{code}")
+            want.append(name)
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0"):
+        texts.append(f"/*\n{marked(chr(10).join(x + chr(10) for x in NOTICES[name]), ' *')}\n */\n\n{code}")
+        want.append(name)
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"):
+        texts += [TEXTS[name], f"{code}\n\n{TEXTS[name]}\n{code}"]
+        want += [name, name]
+    texts.append(code)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.scan(df).collect()}
+    for i, name in enumerate(want):
+        assert got[i][0] and got[i][0].startswith(name) and got[i][1] >= 0.9, (name, got[i], texts[i][:80])
+    assert got[len(want)] == (None, 0.0)
+
+
+def test_license_units_equal_brute_force():
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(9)]
+    templates = {f"t{k}": " ".join(rng.choice(vocab) for _ in range(k)) for k in (5, 9, 14, 30)}
+    texts = []
+    for _ in range(400):
+        parts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 4))]
+        w = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] += rng.choice(["", "\n", "\n\n", "\n * \n", "!"])
+        texts.append("\n\n".join([*parts[:2], " ".join(w), *parts[2:]]))
+    compiled = licenses.Templates(licenses.compile_templates(templates), 0.8)
+    for c in chunks(pa.array(texts)):
+        for i, (name, dice, n) in enumerate(zip(*licenses.scan_chunk(c, compiled))):
+            lines, spans, words = [], set(), 0
+            for line in texts[c.first + i].split("\n"):
+                k = len(brute.words_of("".join(x if x.isalnum() else " " for x in line)))
+                lines.append((words, words + k))
+                words += k
+            edges = sorted({0, words, *(a for a, b in lines if a == b)})
+            spans = {*lines, *((a, b) for j, a in enumerate(edges) for b in edges[j + 1 :])}
+            flat = brute.words_of("".join(x if x.isalnum() else " " for x in texts[c.first + i]))
+            score = {(k, s): plain_dice(" ".join(flat[s[0] : s[1]]), t) for k, t in templates.items() for s in spans if s[0] < s[1]}
+            good = {k: v for k, v in score.items() if v >= 0.8}
+            assert n == len({s for _, s in good})
+            assert dice == pytest.approx(max(good.values(), default=0.0))
+            assert name == (min(k for (k, _), v in good.items() if v == max(good.values())) if good else None)
+
+
 def test_license_scan_equals_brute_force(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op5_license_scan(spark, sf).collect():
