@@ -171,6 +171,19 @@ def conversations(rng):
     return out
 
 
+def test_budget_counts_turns_as_written(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(TOKENIZER)
+    rows = [(1, n, "tool|x>", "</s>[INST] ok [/INST]" * 12) for n in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_conversations(df, TOKENIZER, budget=500, history_tokens=0).collect()
+    for w in windows:
+        turns = chat.parse_window(w.text)
+        assert w.n_tokens == sum(len(lib.encode(chat.render([chat.Turn(r, t, 0)], 0)[0], add_special_tokens=False).ids) for r, t in turns)
+        assert w.over_budget == (w.n_tokens > 500)
+
+
 def test_windows(spark):
     rows = conversations(random.Random(4))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(0))

@@ -1,6 +1,7 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns become windows of text. Prefix sums of turn tokens choose
+A conversation's turns become windows of text. Prefix sums of turn tokens (of each
+turn by itself as it is written, with marks and escapes) choose
 each window's span of new turns, cut between turns only. Before them a window
 repeats the system turn and, within ``history_tokens``, the turns just before.
 Loss falls on the texts of new assistant turns alone, so every assistant text
@@ -36,7 +37,6 @@ from thicket.llm._vocab import library_encoder
 from thicket.llm._words import chunks, tidy
 
 BUDGET, HISTORY = 2048, 256
-TURN_TOKENS = 8  # for the marks of a turn, about
 #: Control strings: <| </s> <s> [INST] [/INST], by first character and rest.
 _CONTROL = r"(?=\||/?s>|/?INST\])"
 _PLAIN = re.compile(r"([<\[])(\\*)" + _CONTROL)
@@ -60,16 +60,25 @@ class Turn:
     tokens: int
 
 
+def head(role: str) -> str:
+    return f"<|{quote(role, safe='')}|>"
+
+
+def written(role: str, text: str) -> str:
+    """A turn as windows have it."""
+    return f"{head(role)}{escape(text)}</s>"
+
+
 def render(turns: list[Turn], context: int) -> tuple[str, list[int], list[int]]:
     """Text of a window and the spans of loss, in code points."""
     out, at, start, end = [], 0, [], []
     for i, t in enumerate(turns):
-        head, body = f"<|{quote(t.role, safe='')}|>", escape(t.text)
+        mark, body = head(t.role), escape(t.text)
         if i >= context and t.role == "assistant":
-            start.append(at + len(head))
-            end.append(at + len(head) + len(body))
-        out += [head, body, "</s>"]
-        at += len(head) + len(body) + 4
+            start.append(at + len(mark))
+            end.append(at + len(mark) + len(body))
+        out += [mark, body, "</s>"]
+        at += len(mark) + len(body) + 4
     return "".join(out), start, end
 
 
@@ -144,10 +153,10 @@ def format_conversations(
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for chunk in chunks(batch.column(2)):
+            every = [(name, r or "", t or "") for name, r, t in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            for chunk in chunks(pa.array([written(r, t) for _, r, t in every], pa.large_string())):
                 _, off, _ = encoder.encode(chunk)
-                part = slice(chunk.first, chunk.first + len(chunk))
-                names, roles, texts = (batch.column(i)[part].to_pylist() for i in range(3))
+                names, roles, texts = zip(*every[chunk.first : chunk.first + len(chunk)])
                 for name, r, t, n in zip(names, roles, texts, np.diff(off).tolist()):
                     if (True, name) != now:
                         if state is not None:
@@ -155,7 +164,7 @@ def format_conversations(
                                 ids.append(now[1])
                                 rows.append(w)
                         now, state = (True, name), Windows(budget, history_tokens)
-                    for w in state.add(Turn(r or "", t or "", n + TURN_TOKENS)):
+                    for w in state.add(Turn(r, t, n)):
                         ids.append(name)
                         rows.append(w)
                 if rows:
