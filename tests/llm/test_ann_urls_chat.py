@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def test_recall_on_the_table(spark):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [0.0, 3.0]), (None, [1.0, 1.0]), (8, []), (6, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1e200, 1e200])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [0.0, 4.0]), (None, [1.0, 1.0]), (8, []), (6, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1e200, 1e200])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df, F.lit(True), k=2).collect())
     assert got == [(0, 1, 6, 1.0), (0, 2, 10, 0.707107), (6, 1, 0, 1.0), (6, 2, 10, 0.707107), (7, 1, 10, 0.707107), (7, 2, 0, 0.0), (10, 1, 0, 0.707107), (10, 2, 6, 0.707107)]
@@ -70,6 +72,50 @@ def test_odd_vectors(spark):
     assert ann.nearest(df, F.lit(False)).count() == 0
 
 
+def test_cosine_of_any_magnitude():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(400, 6)) * 10.0 ** rng.integers(-300, 300, (400, 1))
+    b = rng.normal(size=(400, 6)) * 10.0 ** rng.integers(-300, 300, (400, 1))
+    a[::7, 2:] *= 1e-200
+    a[1], b[1] = 5e-324, 1.7e308
+    want = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = [Fraction(v) for v in x], [Fraction(v) for v in y]
+        dot, xx, yy = sum(p * q for p, q in zip(x, y)), sum(p * p for p in x), sum(p * p for p in y)
+        want.append(math.copysign(math.sqrt(dot * dot / (xx * yy)), dot))
+    assert ann.cosine(a, b) == pytest.approx(want, abs=1e-12)
+    assert ann.cosine(np.array([[1.0, 0], [1e-200, 1e-200]]), np.array([[1.0, 0], [1e-200, 1e-200]])) == pytest.approx([1, 1])
+
+
+def test_vectors_of_any_magnitude(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 12)) * 10.0 ** rng.choice([-300, -200, -170, 0, 100, 200, 300], (300, 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=5, shard_size=100).collect()
+    want = exact([(i, x) for i, x in enumerate(v / np.abs(v).max(1, keepdims=True))], range(0, 300, 10), 5)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, k, i) for q, best in want.items() for k, (i, _) in enumerate(best, 1)}
+    assert all(-1 <= round(r.score, 12) <= 1 for r in got)
+
+
+def test_recall_over_production_shards(spark):
+    """Four graphs and more of the size that the operator chooses by itself."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(18_000, 512))
+    table = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.astype(np.float32).ravel(), 512).cast(pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    rows = ann.valid_vectors(df, "vec_id", "embedding")
+    assert ann.build(rows, 5).select("shard").distinct().count() >= 4
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=5).collect()
+    u = v.astype(np.float32).astype(float)
+    want = exact(list(enumerate(u)), range(0, 18_000, 100), 5)
+    found = {(r.query_id, r.vec_id) for r in got}
+    recall = sum((q, i) in found for q, best in want.items() for i, _ in best) / (5 * len(want))
+    print("recall at 5:", recall)
+    assert recall >= 0.9
+
+
 def test_graph_survives_its_flat_form():
     rng = np.random.default_rng(2)
     v = ann._unit(rng.normal(size=(700, 16)))

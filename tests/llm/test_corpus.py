@@ -54,6 +54,46 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == brute.near_duplicates(enumerate(rows), 3, 90)
 
 
+def test_what_pivots_leave_is_searched_too(spark, monkeypatch):
+    """Chains of near copies and unlike texts that share parts, in one cluster."""
+    rng = random.Random(18)
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    sets, texts = [], []
+    for _ in range(12):
+        text = sentence(rng, 60)
+        for _ in range(6):
+            texts.append(text)
+            text = edited(rng, text, 1)  # a chain: neighbours link, ends do not
+    rng.shuffle(texts)
+    want = brute.near_duplicates(enumerate(texts), 3, 85)
+    for c in chunks(pa.array(texts), 1 << 30):
+        flat, off = next((f, o) for _, f, o, _, _ in ngram_join._sets(pa.array(texts), 3))
+        sets = [flat[a:b].tobytes() for a, b in zip(off, off[1:])]
+    df = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sets)], "rep long, hashes binary")
+    clusters = spark.createDataFrame([(i, 0) for i in range(len(sets))], "node long, root long")
+    found = {r.node: r.root for r in components(ngram_join.cluster_links(clusters, df, 85)).collect()}
+    assert {i: found.get(i, i) for i in range(len(sets))} == {i: c for i, (_, c) in want.items()}
+
+
+def test_merge_skip_counts():
+    rng = random.Random(4)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 15))) for _ in range(rng.randint(1, 9))]
+        count = {y: sum(y in x for x in lists) for y in range(30)}
+        for least in range(1, len(lists) + 2):
+            assert ngram_join.merge_skip(lists, least) == [(y, n) for y, n in count.items() if n >= least]
+
+
+def test_one_row_of_a_group_stays(spark):
+    rng = random.Random(9)
+    text = sentence(rng, 30)
+    rows = [("b", text), ("a", text), ("a", text), (None, text), ("a", sentence(rng, 30)), (None, sentence(rng, 30)), ("c", None), ("c", None), ("d", ""), ("e", text.upper())]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = [tuple(r) for r in ngram_join.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([("a", text), rows[4], rows[5], ("c", None), ("c", None), ("d", "")], key=str)
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(odd_docs, 3, 90).collect()}
     assert {got[i] for i in (0, 1, 2)} == {0, 1, 2}
@@ -62,6 +102,7 @@ def test_odd_documents(spark, odd_docs, no_docs):
     kept = ngram_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     assert not {4, 6, 8, 50} & {r.doc_id for r in kept.collect()}
+    assert ngram_join.keep_one(no_docs).count() == 0
 
 
 def test_repeated_ids_are_one_document(spark):
@@ -285,3 +326,46 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ftrl_equals_its_formulas():
+    """Each step by the published per-coordinate update, in plain numbers."""
+    rng = random.Random(6)
+    z, n, model = [0.0] * 9, [0.0] * 9, classifier.Ftrl(8)
+    for _ in range(300):
+        f = sorted(rng.sample(range(8), rng.randint(0, 4)))
+        x = [rng.random() for _ in f]
+        y = int(sum(f) % 2 == 0)
+        model.learn(np.array(f, np.int64), np.array(x), y)
+        at, xs, w = [*f, 8], [*x, 1.0], []
+        for i in at:
+            if abs(z[i]) <= classifier.L1:
+                w.append(0.0)
+            else:
+                sign = 1 if z[i] > 0 else -1
+                w.append(-(z[i] - sign * classifier.L1) / ((classifier.BETA + n[i] ** 0.5) / classifier.ALPHA + classifier.L2))
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, xs))))
+        for i, xi, wi in zip(at, xs, w):
+            g = (p - y) * xi
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / classifier.ALPHA
+            z[i] += g - sigma * wi
+            n[i] += g * g
+        assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
+
+
+def test_scores_are_dot_products(odd_docs):
+    texts = [r.text for r in odd_docs.collect()]
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(1 << classifier.BITS) + 1)
+    for c in chunks(pa.array(texts, pa.string())):
+        idx, off = classifier.features(c)
+        for i, s in enumerate(classifier.chunk_scores(c, w)):
+            f, x = classifier.row_values(idx[off[i] : off[i + 1]])
+            assert s == pytest.approx(1 / (1 + np.exp(-(w[-1] + sum(w[a] * b for a, b in zip(f, x))))))
+
+
+def test_classifier_takes_ids_of_any_type(spark, odd_docs):
+    docs = odd_docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.createDataFrame([("d7", 1), ("d10", 1), ("d14", 0)], "doc_id string, quality int")
+    w = classifier.train(docs, labels, F.lit(True))
+    assert classifier.score(docs, w).count() == docs.count()

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import regex
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -99,13 +100,86 @@ def test_packing_places_every_id_once(spark, odd_docs, no_docs):
 
 def test_packing_prefers_lexical_neighbours():
     docs = [np.array(x) for x in ([1, 2, 3, 4], [9, 9, 8, 7], [1, 2, 3, 5], [9, 8, 7, 6])]
-    index = packing._Index(docs, np.ones(10), 4.0)
+    index = packing.InvertedIndex(docs, np.ones(10), 4.0)
     assert index.ranked(0)[1] == 2
     assert index.ranked(1)[1] == 3
     out = packing.WindowPacker(8, 0).shard(docs, np.ones(10), 4.0)
     assert [d for d, *_ in out] == [0, 2, 1, 3]
 
 
+def plain_bm25(docs, idf, mean, seed):
+    """Scores of all documents against the distinct terms of one."""
+    out = []
+    for d in docs:
+        score = 0.0
+        for t in set(docs[seed].tolist()):
+            tf = d.tolist().count(t)
+            score += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) if tf else 0.0
+        out.append(score)
+    return out
+
+
+def plain_packer(docs, idf, mean, window):
+    """Pieces (document, start, length, sequence, offset) by scoring every seed against all."""
+    at, out, seq = [0] * len(docs), [], 0
+    for i, d in enumerate(docs):
+        while len(d) - at[i] >= window:
+            out.append((i, at[i], window, seq, 0))
+            at[i], seq = at[i] + window, seq + 1
+    used, opened, seed = 0, None, None
+
+    def put(i):
+        nonlocal used, opened, seq
+        if opened is None:
+            opened, seq, used = seq, seq + 1, 0
+        n = min(len(docs[i]) - at[i], window - used)
+        out.append((i, at[i], n, opened, used))
+        at[i], used = at[i] + n, used + n
+        if used == window:
+            opened = None
+        return opened is None
+
+    while left := [i for i, d in enumerate(docs) if at[i] < len(d)]:
+        if seed not in left:
+            seed = left[0]
+        if put(seed):
+            continue
+        scores = np.round(plain_bm25(docs, idf, mean, seed), 9)
+        for i in sorted((i for i in left if i != seed), key=lambda i: -scores[i]):
+            if put(i):
+                seed = i
+                break
+    return out
+
+
+def test_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, rng.integers(1, 60)) for _ in range(50)]
+    idf = rng.random(40)
+    index, free = packing.InvertedIndex(docs, idf, 30.0), rng.random(50) < 0.5
+    for seed in range(50):
+        assert index.scores(seed) == pytest.approx(plain_bm25(docs, idf, 30.0, seed))
+    index.keep(free)
+    for seed in np.flatnonzero(free):
+        assert index.scores(seed)[free] == pytest.approx(np.array(plain_bm25(docs, idf, 30.0, seed))[free])
+
+
+def test_choice_of_neighbours_equals_brute_force():
+    rng = np.random.default_rng(4)
+    idf = rng.random(300) + 0.1
+    docs = [rng.integers(0, 300, rng.choice([1, 3, 20, 50, 90])) for _ in range(120)]
+    docs += [docs[3].copy(), docs[7].copy(), np.arange(200), np.zeros(64, np.int64)]
+    got = packing.WindowPacker(64, 0).shard(docs, idf, 30.0)
+    assert [tuple(map(int, p)) for p in got] == plain_packer(docs, idf, 30.0, 64)
+
+
+def test_repeated_rows_are_packed_each(spark, odd_docs):
+    pieces = packing.pack(odd_docs.where("doc_id IN (3, 11)").union(odd_docs.where("doc_id IN (3, 50)")), JSON, window=64).collect()
+    want = expected_ids({r.doc_id: r.text for r in odd_docs.where("doc_id IN (3, 11, 50)").collect()})
+    assert sum(p.length for p in pieces if p.doc_id == 3) == 2 * (len(want[3]) + 1)
+    assert sum(p.length for p in pieces) == sum(len(want[i]) + 1 for i in (3, 3, 11, 50))
+
+
 def test_packing_reaches_neighbours_far_apart_in_the_file(spark):
     rng = random.Random(9)
     rows = []
@@ -117,7 +191,7 @@ def test_packing_reaches_neighbours_far_apart_in_the_file(spark):
                 rows.append(rows[g] if g % 2 else rows[g] + " more")
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     at = {}
-    for p in packing.pack(df, JSON, window=128, shard_docs=16).collect():
+    for p in packing.pack(df, JSON, window=128, shard_docs=64).collect():
         at.setdefault(p.doc_id, set()).add(p.sequence_id)
     together = [bool(at[g] & at[150 + g]) for g in range(150)]
     assert sum(together[1::2]) >= 0.9 * 75 and sum(together[::2]) >= 0.7 * 75

@@ -2,7 +2,9 @@
 
 The cache is an open-addressing table in numpy arrays, so a chunk's slices are
 looked up together; only slices not seen before are encoded one at a time. It
-is emptied when full, which bounds its memory and changes no result.
+keeps the slices' bytes and compares them on every hit: a slice whose hash
+belongs to another is encoded by itself. The table is emptied when full, which
+bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 from thicket.llm._pretok import token_starts
-from thicket.llm._words import Chunk, segment_hash
+from thicket.llm._words import Chunk, same_segments, segment_hash, words8
 
 SLOTS = 1 << 21
 
@@ -32,7 +34,10 @@ class CachedEncoder:
         self.at = np.zeros(self.slots, np.int32)
         self.len = np.zeros(self.slots, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = self.filled = 0
+        self.size = np.zeros(self.slots, np.int32)
+        self.byte_at = np.zeros(self.slots, np.int64)
+        self.bytes = np.zeros(1 << 16, np.uint8)  # the last eight stay free
+        self.used = self.filled = self.held = 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of keys, and which keys are there."""
@@ -46,7 +51,21 @@ class CachedEncoder:
             open_ = open_[(there != h[open_]) & (there != 0)]
         return slot, self.keys[slot] == h
 
-    def _add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def _keep(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the bytes of new slices are kept."""
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.held + len(flat) + 8 > len(self.bytes):
+            grown = np.zeros(max(2 * len(self.bytes), self.held + len(flat) + 8), np.uint8)
+            grown[: self.held] = self.bytes[: self.held]
+            self.bytes = grown
+        self.bytes[self.held : self.held + len(flat)] = flat
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = self.held + np.cumsum(size) - size
+        self.held += len(flat)
+        return at
+
+    def _add(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        ids, kept = [self.encode_slice(x) for x in pieces], self._keep(pieces)
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.int32, int(lens.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -63,6 +82,7 @@ class CachedEncoder:
             _, first = np.unique(slot, return_index=True)
             s, i = slot[first], left[first]
             self.keys[s], self.at[s], self.len[s] = h[i], at[i], lens[i]
+            self.byte_at[s], self.size[s] = kept[i], [len(pieces[x]) for x in i]
             left = np.delete(left, first)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +93,8 @@ class CachedEncoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64), start
         size = np.diff(np.append(start, len(buf)))
-        h = segment_hash(buf, start, size)
+        view = words8(buf)
+        h = segment_hash(buf, start, size, view=view)
         h[h == 0] = 1
         slot, found = self._find(h)
         if not found.all():
@@ -87,11 +108,22 @@ class CachedEncoder:
                 self._reset()
             raw = buf.tobytes()
             s, e = start[miss[first]], (start + size)[miss[first]]
-            self._add(new, [self.encode_slice(raw[a:b]) for a, b in zip(s.tolist(), e.tolist())])
+            self._add(new, [raw[a:b] for a, b in zip(s.tolist(), e.tolist())])
             slot, found = self._find(h)
-        n = self.len[slot]
+        n, at, pool = self.len[slot], self.at[slot], self.pool
+        kept = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+        same = size == self.size[slot]
+        own = np.flatnonzero(same)
+        same[own] = same_segments(view, start[own], kept, self.byte_at[slot[own]], size[own])
+        if not same.all():
+            # Another slice has this hash: these are encoded outside the cache.
+            other, raw = np.flatnonzero(~same), buf.tobytes()
+            more = [self.encode_slice(raw[a : a + k]) for a, k in zip(start[other].tolist(), size[other].tolist())]
+            n[other] = list(map(len, more))
+            at[other] = len(pool) + np.cumsum(n[other]) - n[other]
+            pool = np.append(pool, np.array([x for y in more for x in y], pool.dtype))
         end = np.cumsum(n, dtype=np.int64)
-        ids = self.pool[np.arange(end[-1]) + np.repeat(self.at[slot] - (end - n), n)]
+        ids = pool[np.arange(end[-1]) + np.repeat(at - (end - n), n)]
         rows = np.concatenate([[0], end])[np.searchsorted(start, off)]
         return ids, rows, start
 

@@ -52,13 +52,16 @@ def release() -> None:
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Short Arrow batches for the whole session, as texts may be long. The
+    registered queries ask for it; a caller of the operators may do so too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def tidy(run: Batches) -> Batches:
-    """A function for ``mapInArrow`` that keeps workers small: batches are
-    short (texts may be long), and what one has freed goes before the next."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """A function for ``mapInArrow`` that keeps workers small: what a batch has
+    freed goes back to the system before the next."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[pa.RecordBatch]:
@@ -112,37 +115,75 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
-def segment_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def words8(buf: np.ndarray) -> np.ndarray:
+    """Eight bytes from every position on, as one number; zeros beyond the end."""
+    pad = np.zeros(len(buf) + 8, np.uint8)
+    pad[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", pad, 0, (1,))
+
+
+#: Two lanes of hashes that share no constant. Where a single one would decide,
+#: bytes are compared or both lanes are used.
+_SIZE = [_U(0xD6E8FEB86659FD93), _U(0xA5CB9243F3D2E6B5)]
+_SEED = [_U(0x2127599BF4325C37), _U(0x880355F21E6D1965)]
+_BLOCK = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
+
+
+def segment_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray, lane: int = 0, view: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte segments, eight bytes at a step for all at once."""
-    n = len(buf)
-    pad = np.zeros(n + 8, np.uint8)
-    pad[:n] = buf
-    view = np.ndarray((n + 1,), "<u8", pad, 0, (1,))
-    h = mix64((view[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    view = words8(buf) if view is None else view
+    sized = mix64(size.astype(np.uint64) * _SIZE[lane] + _SEED[lane])
+    first = view[start] & _MASK[np.minimum(size, 8)]
+    h = mix64((first * _BLOCK[lane] if lane else first) ^ sized)
     more, k = np.flatnonzero((size > 8) & (size <= _HUGE)), 8
     while len(more):
         w = view[start[more] + k] & _MASK[np.minimum(size[more] - k, 8)]
-        h[more] = mix64(h[more] * _U(0x9E3779B97F4A7C15) + w)
+        h[more] = mix64((h[more] ^ w) * _BLOCK[lane] + sized[more])
         k += 8
         more = more[size[more] > k]
     for i in np.flatnonzero(size > _HUGE):
         raw = buf[start[i] : start[i] + size[i]].tobytes()
-        h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=bytes([lane])).digest(), "little")
     return h
 
 
+def same_segments(view: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether segments of equal size hold the same bytes (``words8`` of each)."""
+    same = ((view[start] ^ other[at]) & _MASK[np.minimum(size, 8)]) == 0
+    more, k = np.flatnonzero(same & (size > 8)), 8
+    while len(more):
+        same[more] = ((view[start[more] + k] ^ other[at[more] + k]) & _MASK[np.minimum(size[more] - k, 8)]) == 0
+        k += 8
+        more = more[same[more] & (size[more] > k)]
+    return same
+
+
+def exact_codes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+    """Numbers from 0 that are equal exactly where the bytes are."""
+    view = words8(buf)
+    h = segment_hash(buf, start, size, view=view) if h is None else h
+    _, first, code = np.unique(h, return_index=True, return_inverse=True)
+    own = first[code]
+    if (size == size[own]).all() and same_segments(view, start, view, start[own], size).all():
+        return code
+    raw, table = buf.tobytes(), {}
+    return np.array([table.setdefault(raw[a:b], len(table)) for a, b in zip(start.tolist(), (start + size).tolist())])
+
+
 class Words:
-    """Words of a chunk: byte spans, word offsets per row and hashes."""
+    """Words of a chunk: byte spans, word offsets per row and hashes (``hash``
+    and, made when asked for, a second lane)."""
 
-    __slots__ = ("start", "end", "off", "hash")
+    __slots__ = ("start", "end", "off", "flat", "_lanes")
 
     def __init__(self, chunk: Chunk, lower: bool = False):
         buf, off = chunk.buf, chunk.off
         n = len(buf)
+        self._lanes: list[np.ndarray | None] = [None, None]
+        self.flat = buf
         if not n:
             self.start = self.end = np.zeros(0, np.int64)
             self.off = np.zeros(len(off), np.int64)
-            self.hash = np.zeros(0, np.uint64)
             return
         inside = ~SPACE[buf]
         edge = np.empty(n, bool)
@@ -154,29 +195,38 @@ class Words:
         np.logical_not(inside[1:], out=edge[:-1])
         edge[off[1:][off[1:] > 0] - 1] = True
         self.end = np.flatnonzero(inside & edge) + 1
-        flat = np.frombuffer(buf.tobytes().lower(), np.uint8) if lower else buf  # bytes.lower() is A-Z only
-        self.hash = segment_hash(flat, self.start, self.end - self.start)
+        if lower:
+            self.flat = np.frombuffer(buf.tobytes().lower(), np.uint8)  # bytes.lower() is A-Z only
         self.off = np.searchsorted(self.start, off)
 
+    def lane(self, i: int) -> np.ndarray:
+        if self._lanes[i] is None:
+            self._lanes[i] = segment_hash(self.flat, self.start, self.end - self.start, i)
+        return self._lanes[i]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.lane(0)
+
+    def codes(self) -> np.ndarray:
+        """``exact_codes`` of the words."""
+        return exact_codes(self.flat, self.start, self.end - self.start, self.hash)
+
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 
 
-_STEP = [_U(x | 1) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+_STEP = [
+    [_U(x | 1) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)],
+    [_U(x | 1) for x in (0xF1357AEA2E62A9C5, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)],
+]
 
 
-def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word windows, and their offsets per row. A row with
-    fewer words has one shingle of its whole sequence, one without words none."""
-    h, off = words.hash, words.off
+def _windows(h: np.ndarray, off: np.ndarray, n: int, step: list) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(off)
-    if n == 1:
-        return mix64(h), off
-    if not len(h):
-        return h, off
-    full = mix64(h * _STEP[0])
+    full = mix64(h * step[0])
     for k in range(1, n):
-        full[:-k] = mix64(full[:-k] + h[k:] * _STEP[k % 5]) if k < len(h) else full[:-k]
+        full[:-k] = mix64(full[:-k] + h[k:] * step[k % 5]) if k < len(h) else full[:-k]
     make = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     out_off = np.concatenate([[0], np.cumsum(make)])
     at = np.arange(out_off[-1]) - np.repeat(out_off[:-1] - off[:-1], make)
@@ -184,11 +234,22 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero((count > 0) & (count < n)):
         x = np.full(1, count[i], np.uint64)
         for w in h[off[i] : off[i + 1]]:
-            x = mix64(x * _STEP[1] + w)
+            x = mix64(x * step[1] + w)
         out[out_off[i]] = x[0]
     return out, out_off
 
 
+def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-word windows, and their offsets per row. A row with
+    fewer words has one shingle of its whole sequence, one without words none.
+    A hash is made of both lanes of the words, so that texts made to collide in
+    one do not collide here; two given windows share one by chance of 2^-64."""
+    if not len(words.start):
+        return np.zeros(0, np.uint64), words.off
+    (a, off), (b, _) = (_windows(words.lane(i), words.off, n, _STEP[i]) for i in (0, 1))
+    return a ^ b, off
+
+
 def distinct_per_row(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, and their offsets."""
     parts, sizes = [], [0]

@@ -2,10 +2,12 @@
 
 Equal vectors are one node that keeps the smallest ids, as many as a result can
 need, so a vector that fills a third of the table costs one node and is never
-gathered. Nodes are dealt over shards of about ``SHARD`` by a hash of their id.
-Each shard's graph is built by batched insertion in numpy and stored as one row
-of flat arrays (levels of fixed-width neighbour lists). Queries meet every
-shard in blocks of bounded size, and a window keeps each query's best.
+gathered. Nodes are dealt over shards by a hash of their id; a shard is as large
+as ``SHARD_BYTES`` of memory allow, since a search visits nearly as many nodes of
+a small graph as of a large one. Each shard's graph is built by batched insertion
+in numpy and stored as one row of flat arrays (levels of fixed-width neighbour
+lists). Queries meet every shard in blocks of bounded size; a task passes on each
+query's best of its shard, and a window keeps the best of all.
 
 A result's score is the cosine in double precision on the original vectors;
 ties go to the smaller id. Vectors that are null, empty, zero or hold null or
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from thicket.llm._words import mix64
 from thicket.storage import materialize
 
-SHARD = 4096  # nodes of a graph, about
+SHARD_BYTES = 8 << 20  # of the vectors of a graph, in double precision, about
+LEAST_SHARD = 4096  # nodes, whatever their dimension
+SEEN_BYTES = 16 << 20  # of the marks of visited nodes in a search
 QUERY_BLOCK = 8192  # queries that meet a graph in one task
-M, EF_BUILD, EF_SEARCH = 16, 64, 96
+M, EF_BUILD, EF_SEARCH = 16, 64, 160
 _NONE = np.float32(-np.inf)
 
 
@@ -73,9 +77,8 @@ class Hnsw:
         sim = np.full((b, ef), _NONE, np.float32)
         done = np.zeros((b, ef), bool)
         ids[:, 0], sim[:, 0] = entry, np.einsum("ij,ij->i", q, self.v[entry])
-        seen = np.zeros((b, n), bool)
-        rows = np.arange(b)
-        seen[rows, entry] = True
+        seen = np.zeros(b * n, np.int32)  # who visited a node first, from 1
+        seen[np.arange(b) * n + entry] = 1
         width = min(4, ef)
         while True:
             open_ = np.where(done | (ids < 0), _NONE, sim)
@@ -90,13 +93,14 @@ class Hnsw:
             near = near.ravel()
             ok = near >= 0
             row, near = row[ok], near[ok]
-            fresh = np.unique(row * n + near)
-            row, near = fresh // n, fresh % n
-            ok = ~seen[row, near]
-            row, near = row[ok], near[ok]
-            if not len(row):
+            at = row * n + near
+            at = at[seen[at] == 0]
+            if not len(at):
                 continue
-            seen[row, near] = True
+            mark = np.arange(1, len(at) + 1, dtype=np.int32)
+            seen[at] = mark
+            at = at[seen[at] == mark]  # of equal ones, one
+            row, near = at // n, at % n
             s = np.einsum("ij,ij->i", q[row], self.v[near])
             worst = sim.min(axis=1)
             ok = s > worst[row]
@@ -121,10 +125,11 @@ class Hnsw:
     def search(self, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> np.ndarray:
         """Numbers of the k nearest nodes found, -1 where there are fewer."""
         out = np.full((len(q), k), -1)
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
+        step = max(16, min(256, SEEN_BYTES // (4 * max(len(self.v), 1))))
+        for lo in range(0, len(q), step):
+            part = q[lo : lo + step]
             ids, _ = self._beam(0, part, self._descend(part, 0), max(ef, k))
-            out[lo : lo + 256, : ids.shape[1]] = ids[:, :k]
+            out[lo : lo + step, : ids.shape[1]] = ids[:, :k]
         return out
 
     # -- construction -----------------------------------------------------
@@ -229,18 +234,24 @@ class Hnsw:
         return self
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row by a power of two of its own, which is exact and leaves its
+    cosines as they are, so that its largest component is 0.5 to 1: squares then
+    neither overflow nor vanish. Rows of ordinary size stay as they are."""
+    top = np.abs(vectors).max(axis=1)
+    if ((top > 1e-60) & (top < 1e60)).all():
+        return vectors
+    return np.ldexp(vectors, -np.frexp(top)[1][:, None])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    v = _scaled(vectors)
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise, in double; scaled first only where squares would overflow."""
-    for x in (a, b):
-        top = np.abs(x).max(initial=1.0)
-        if not 1e-100 < top < 1e100:
-            a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-            break
+    """Row-wise, in double."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -250,14 +261,18 @@ def valid_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.where(F.col(f"`{id_col}`").isNotNull() & (F.size(v) > 0) & fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
 
 
-def build(rows: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
+def build(rows: DataFrame, k: int, shard_size: int | None = None) -> DataFrame:
     """Graphs: ``dim, shard, ids`` (k + 1 smallest ids of each node, -1 for
-    none), ``vectors`` (doubles) and ``graph``, all flat. ``rows``: id, v."""
+    none), ``vectors`` (doubles) and ``graph``, all flat. ``rows``: id, v. A
+    shard holds about ``shard_size`` nodes; by default what memory allows."""
     first = Window.partitionBy("v").orderBy("id")
     nodes = rows.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     nodes = materialize(nodes, "nodes")
-    n_shards = max(1, math.ceil(nodes.count() / shard_size))
-    dealt = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(n_shards)).cast("int").alias("shard"), "ids", "v")
+    dim = F.size("v").alias("dim")
+    sizes = {r.dim: r["count"] for r in nodes.groupBy(dim).count().collect()}  # a row a dimension
+    shards = {d: max(1, math.ceil(n / (shard_size or max(LEAST_SHARD, SHARD_BYTES // (8 * d))))) for d, n in sizes.items()}
+    deal = F.create_map(*[F.lit(x) for pair in (shards or {0: 1}).items() for x in pair])
+    dealt = nodes.select(dim, F.pmod(F.xxhash64(F.element_at("ids", 1)), deal[F.size("v")]).cast("int").alias("shard"), "ids", "v")
 
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
@@ -271,10 +286,12 @@ def build(rows: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
         graph = Hnsw(_unit(v), np.ascontiguousarray(own[:, 0])).dump()
         return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "ids": pa.array([own.tobytes()], pa.binary()), "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "graph": pa.array([graph], pa.binary())})
 
+    # One task a graph, as far as hashes part them: building is the long step.
+    dealt = dealt.repartition(max(1, min(1 << 15, 2 * sum(shards.values()))), "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, ids binary, vectors binary, graph binary")
 
 
-def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_size: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``df`` on which
     ``queries`` (a condition on ``df``) holds, against all other rows."""
     rows = valid_vectors(df, id_col, vector)

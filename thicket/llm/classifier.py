@@ -89,7 +89,8 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, bits: int = BITS) -> np.ndarray:
     """Weights from the labelled documents for which ``where`` (of ``id_col``)
-    holds: the ``train_docs`` of smallest hash, each id once."""
+    holds: the ``train_docs`` of smallest hash, each id once (of rows that share
+    an id, the one whose features sort first). Ids may be of any type."""
     picked = (
         labels.where(where & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
@@ -118,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quali
                 model.learn(f, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    found = rows.select("_id", "_text", F.col("_y").cast("int")).mapInArrow(tidy(extract), "k long, y int, f binary, x binary")
+    kind = dict(rows.dtypes)["_id"]
+    found = rows.select("_id", "_text", F.col("_y").cast("int")).mapInArrow(tidy(extract), f"k {kind}, y int, f binary, x binary")
     one = found.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "f").mapInArrow(tidy(learn), "w binary").collect()
     return np.frombuffer(one[0].w, "<f4") if one else np.zeros((1 << bits) + 1, "<f4")
 

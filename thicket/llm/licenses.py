@@ -74,10 +74,11 @@ _NORMAL[[b for b in range(128) if not (chr(b).isalnum() or b == 10)]] = 32
 def _bigrams(buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words of rows, and the hash of the pair that starts at each word."""
     words = Words(Chunk(0, buf, off))
+    if len(words.start) < 2:
+        return words, np.zeros(0, np.uint64)
     whole = Words.__new__(Words)
-    whole.hash, whole.off = words.hash, np.array([0, len(words.hash)])
-    pairs = shingles(whole, 2)[0] if len(words.hash) > 1 else np.zeros(0, np.uint64)
-    return words, pairs
+    whole.start, whole._lanes, whole.off = words.start, [words.lane(0), words.lane(1)], np.array([0, len(words.start)])
+    return words, shingles(whole, 2)[0]
 
 
 def compile_templates(templates: Mapping[str, str]) -> list[tuple[str, np.ndarray]]:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: exact near-duplicate classes over word shingles.
 
-1. Every text becomes its set of 64-bit shingle hashes; texts with equal sets
-   are one class, represented by their smallest id.
+1. Every text becomes its set of 64-bit shingle hashes, each made of two lanes
+   of hashes of its words; texts whose sets agree in size and in a hash of 128
+   bits are one class, represented by their smallest id.
 2. Occurrence filter. A partner shares all but ``d = n - ceil(t * n)`` of a
    set's n shingles, so a set with more than ``d`` shingles found in no other
    class has none. The shingles are dealt over parts by hash and counted there,
@@ -29,12 +30,14 @@ hash). An empty table gives an empty result. Null ids are left out.
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm._components import UnionFind, components
@@ -45,7 +48,8 @@ from thicket.storage import materialize
 WORDS, PERCENT = 5, 80
 DEAL_SHINGLES = 1 << 20  # that a task deals out at a time
 PART_SHINGLES = 1 << 21  # that a task of the occurrence filter holds, about
-BLOCK = 1024  # sets of a block of a large cluster
+BLOCK = 256  # sets of a block of a large cluster
+PIVOTS = 16  # sets of a large cluster that meet all others
 _U = np.uint64
 
 
@@ -60,11 +64,14 @@ def spare(n, percent: int):
 
 
 def _sets(column: pa.Array, words: int):
-    """For each chunk: it, sorted distinct shingles, their offsets, set hash."""
+    """For each chunk: it, sorted distinct shingles, their offsets, and two hashes of each set."""
     for chunk in chunks(column):
         flat, off = distinct_per_row(*shingles(Words(chunk, lower=True), words))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        yield chunk, flat, off, mix64(np.diff(total[off]) + np.diff(off).astype(np.uint64)).view(np.int64)
+        hashes = []
+        for salt in (_U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat ^ salt), dtype=np.uint64)])
+            hashes.append(mix64(np.diff(total[off]) + np.diff(off).astype(np.uint64)).view(np.int64))
+        yield chunk, flat, off, *hashes
 
 
 def _slice_of(percent: int) -> float:
@@ -74,14 +81,14 @@ def _slice_of(percent: int) -> float:
 
 
 def set_rows(source: DataFrame, words: int) -> DataFrame:
-    """``id, n, h``: size and hash of every document's set."""
+    """``id, n, h, h2``: size and hashes of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, _, off, h in _sets(batch.column(1), words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(np.diff(off)), pa.array(h)], ["id", "n", "h"])
+            for chunk, _, off, h, h2 in _sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(np.diff(off)), pa.array(h), pa.array(h2)], ["id", "n", "h", "h2"])
 
-    return source.mapInArrow(tidy(run), "id long, n long, h long")
+    return source.mapInArrow(tidy(run), "id long, n long, h long, h2 long")
 
 
 def lone_shingles(source: DataFrame, words: int, percent: int, n_parts: int) -> DataFrame:
@@ -114,7 +121,7 @@ def lone_shingles(source: DataFrame, words: int, percent: int, n_parts: int) ->
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["p", "hs", "counts", "low"])
 
         for batch in batches:
-            for chunk, flat, off, h in _sets(batch.column(1), words):
+            for chunk, flat, off, h, _ in _sets(batch.column(1), words):
                 high = (flat >> _U(32)).astype(np.int64)
                 seen = high < top
                 size = np.diff(np.concatenate([[0], np.cumsum(seen)])[off])
@@ -205,8 +212,38 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """Numbers that occur in ``least`` of the sorted lists or more, and in how
+    many. A heap holds each list's head; where the top occurs too seldom, so
+    many heads are dropped that one list less than ``least`` is out, and these
+    lists jump by binary search to the next number that may still do."""
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    at, out = [0] * len(lists), []
+    while len(heap) >= least:
+        top, out_of = heap[0][0], []
+        while heap and heap[0][0] == top:
+            out_of.append(heapq.heappop(heap)[1])
+        if len(out_of) >= least:
+            out.append((top, len(out_of)))
+            goal = top + 1
+        else:
+            while heap and len(out_of) < least - 1:
+                out_of.append(heapq.heappop(heap)[1])
+            if not heap:
+                break  # fewer lists are left than are needed
+            goal = heap[0][0]
+        for i in out_of:
+            own = lists[i]
+            at[i] = bisect_left(own, goal, at[i])
+            if at[i] < len(own):
+                heapq.heappush(heap, (own[at[i]], i))
+    return out
+
+
 class Searcher:
-    """T-occurrence search among sets of a cluster that are added one by one."""
+    """T-occurrence search among sets of a cluster, over inverted lists of
+    their shingles."""
 
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
@@ -214,59 +251,59 @@ class Searcher:
         owner = np.repeat(np.arange(len(sets)), self.size)
         values, code = np.unique(flat, return_inverse=True)
         order = np.lexsort((owner, code))
-        self.lists = owner[order]
-        self.begin = np.searchsorted(code[order], np.arange(len(values) + 1))
+        begin = np.searchsorted(code[order], np.arange(len(values) + 1))
+        every = owner[order].tolist()
+        self.lists = [every[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        self.length = np.diff(begin)
         self.code = np.split(code, np.cumsum(self.size)[:-1])
 
     def overlaps(self, x: int, percent: int, others: np.ndarray) -> np.ndarray:
         """Sets y of the mask ``others`` that link with x, by DivideSkip."""
         code = self.code[x]
-        least = int(-(-percent * self.size[x] // 100))
-        length = self.begin[code + 1] - self.begin[code]
+        need = required(self.size[x], self.size, percent)
+        able = others & (need <= np.minimum(self.size[x], self.size))
+        if not able.any():
+            return np.zeros(0, np.int64)
+        least = int(need[able].min())
+        length = self.length[code]
         order = np.argsort(length, kind="stable")
-        longest = int(length[order[-1]])
         # Lists set aside: the heuristic T / (mu log M + 1), T - 1 at most.
-        aside = max(0, min(least - 1, int(least / (0.01 * math.log(longest + 1) + 1))))
+        aside = max(0, min(least - 1, int(least / (0.01 * math.log(int(length[order[-1]]) + 1) + 1))))
         short, long = code[order[: len(code) - aside]], code[order[len(code) - aside :]]
-        a, n = self.begin[short], self.begin[short + 1] - self.begin[short]
-        merged = self.lists[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
-        count = np.bincount(merged, minlength=len(self.size))
-        need = required(self.size[x], self.size, percent)
-        found = np.flatnonzero(others & (count >= need - aside) & (count > 0) & (need <= np.minimum(self.size[x], self.size)))
-        if not len(found) or not aside:
-            return found[count[found] >= need[found]]
-        have = count[found]
-        if len(found) <= len(long):
-            for k, y in enumerate(found):
-                own = self.code[y]
-                have[k] += (own[np.minimum(np.searchsorted(own, long), len(own) - 1)] == long).sum()
-            return found[have >= need[found]]
-        for k, (lo, hi) in enumerate(zip(self.begin[long], self.begin[long + 1])):
-            own = self.lists[lo:hi]
-            have += own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
-            if k % 32 == 31:
-                able = have + (len(long) - k - 1) >= need[found]
-                found, have = found[able], have[able]
-                if not len(found):
-                    break
-        return found[have >= need[found]]
-
-
-def search_links(reps: list[int], sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components among ``sets``; with ``left`` (a mask)
-    only those between it and the rest. From each set only sets not yet in its
-    component are searched for, which loses no component."""
+        merged = [(y, n) for y, n in merge_skip([self.lists[c] for c in short.tolist()], least - aside) if able[y]]
+        found = [y for y, n in merged if n + self._held(y, long, int(need[y]) - n) >= need[y]]
+        return np.array(found, np.int64)
+
+    def _held(self, y: int, long: np.ndarray, wanted: int) -> int:
+        """In how many of the long lists y is."""
+        if wanted <= 0 or wanted > len(long):
+            return 0
+        own = self.code[y]
+        if len(own) < 8 * len(long):
+            return int((own[np.minimum(np.searchsorted(own, long), len(own) - 1)] == long).sum())
+        have = 0
+        for k, c in enumerate(long.tolist()):
+            own_list = self.lists[c]
+            i = bisect_left(own_list, y)
+            have += i < len(own_list) and own_list[i] == y
+            if have + len(long) - k - 1 < wanted:
+                break
+        return have
+
+
+def search_links(reps: list[int], sets: list[np.ndarray], percent: int, parts: list[int] | None = None, seeds: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that, with those that made ``parts`` (components known before),
+    span the components among ``sets``. From each set, or each of ``seeds``,
+    only sets not yet in its component are searched for, which loses none."""
     n = len(sets)
     searcher, links, sets_of = Searcher(sets), [], UnionFind()
-    root = np.arange(n)
-    todo = np.ones(n, bool)
+    root = np.unique(parts, return_inverse=True)[1] if parts else np.arange(n)
+    ask, todo = np.array(seeds if seeds else [True] * n), np.ones(n, bool)
     for x in np.argsort(-searcher.size, kind="stable"):
+        if not ask[x]:
+            continue
         todo[x] = False
-        others = (root != root[x]) if left is not None else (root != root[x]) & todo
-        if left is not None:
-            others &= left != left[x]
-            if not left[x]:
-                continue
+        others = (root != root[x]) & (todo | ~ask)
         if not others.any():
             continue
         for y in searcher.overlaps(x, percent, others):
@@ -278,32 +315,74 @@ def search_links(reps: list[int], sets: list[np.ndarray], percent: int, left: np
 
 
 def _search(percent: int):
+    """For rows sorted by task and rep: a task's links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets, side = None, [], [], []
+        now, reps, sets, parts, seeds = None, [], [], [], []
 
         def out() -> pa.RecordBatch:
-            left = np.array(side)
-            links = search_links(reps, sets, percent, left if left.any() and not left.all() else None) if len(reps) > 1 else []
+            links = search_links(reps, sets, percent, parts, seeds) if len(reps) > 1 else []
             a, b = zip(*links) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for root, i, j, rep, block, raw in zip(*(c.to_pylist() if k < 5 else c for k, c in enumerate(batch.columns))):
+            for root, i, j, rep, part, seed, raw in zip(*(c.to_pylist() if k < 6 else c for k, c in enumerate(batch.columns))):
                 if (root, i, j) != now:
                     if now is not None:
                         yield out()
-                    now, reps, sets, side = (root, i, j), [], [], []
+                    now, reps, sets, parts, seeds = (root, i, j), [], [], [], []
                 if reps and reps[-1] == rep:
-                    continue  # the same document once more
+                    seeds[-1] |= seed  # the same set once more
+                    continue
                 reps.append(rep)
                 sets.append(np.frombuffer(raw.as_buffer(), "<u8"))
-                side.append(block == i)
+                parts.append(part)
+                seeds.append(seed)
         if now is not None:
             yield out()
 
     return run
 
 
+def _blocks(member: DataFrame, root: str = "root") -> DataFrame:
+    """``root, blocks``: how many blocks a cluster's sets fill."""
+    return member.groupBy(root).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+
+
+def _run_tasks(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``tasks``: root, i, j, rep, part, seed."""
+    work = tasks.join(sets, "rep").select("root", "i", "j", "rep", "part", "seed", "hashes")
+    return work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(tidy(_search(percent)), "a long, b long")
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that span the components of every cluster (``node,
+    root``). ``sets``: rep, hashes."""
+    member = clusters.select("root", F.col("node").alias("rep"))
+    sized = member.join(_blocks(member), "root")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # Each block by itself, and with some sets of its cluster that all meet.
+    own = sized.select("root", block.alias("i"), F.lit(0).alias("j"), "rep")
+    large = sized.where("blocks > 1")
+    pivot = large.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("rep", F.lit(1)), "rep"))).where(F.col("_k") <= PIVOTS)
+    shared = pivot.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "rep")
+    every = own.unionByName(shared).select("*", F.col("rep").alias("part"), F.lit(True).alias("seed"))
+    first = materialize(_run_tasks(every, sets, percent), "links")
+    if large.isEmpty():
+        return first
+    # What the cluster's largest component does not hold meets all the rest.
+    parts = components(first).select(F.col("node").alias("rep"), F.col("root").alias("part"))
+    known = materialize(large.join(parts, "rep", "left").select("root", "rep", "blocks", F.coalesce("part", "rep").alias("part")), "parts")
+    most = known.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("most"))
+    known = known.join(most, "root")
+    rest = known.where("part <> most")
+    rest_blocks = _blocks(rest).withColumnRenamed("blocks", "rests")
+    rest = rest.join(rest_blocks, "root")
+    asked = rest.select("root", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("rests")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "rep", "part", F.lit(True).alias("seed"))
+    met = known.join(rest_blocks, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block.alias("j"), "rep", "part", F.lit(False).alias("seed"))
+    return first.unionByName(_run_tasks(asked.unionByName(met), sets, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every document; the component is
     named by its smallest id. Two documents link where 100 * intersection is
@@ -312,23 +391,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, math.ceil(size * _slice_of(percent) / 6 / PART_SHINGLES))
     found = materialize(set_rows(source, words), "set-rows")
-    found = found.groupBy("id").agg(F.min(F.struct("h", "n")).alias("s")).select("id", "s.n", "s.h")
-    classes = materialize(found.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("rep")), "classes")
+    found = found.groupBy("id").agg(F.min(F.struct("h", "h2", "n")).alias("s")).select("id", "s.n", "s.h", "s.h2")
+    classes = materialize(found.where("n > 0").groupBy("n", "h", "h2").agg(F.min("id").alias("rep")), "classes")
 
     lone = lone_shingles(source, words, percent, n_parts)
     allowed = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
     alive = classes.join(lone, "h", "left").where(F.coalesce("lone", F.lit(0)) <= allowed)
-    alive = materialize(alive.select("rep", F.col("h").alias("want")), "alive")
+    alive = materialize(alive.select("rep", F.col("h").alias("want"), F.col("h2").alias("want2")), "alive")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, flat, off, h in _sets(batch.column(1), words):
+            for chunk, flat, off, h, h2 in _sets(batch.column(1), words):
                 s = slice(chunk.first, chunk.first + len(chunk))
                 rows = pa.RecordBatch.from_arrays([batch.column(0)[s], binary_rows(flat, off)], ["rep", "hashes"])
-                yield rows.filter(pa.array(h == batch.column(2)[s].to_numpy()))
+                yield rows.filter(pa.array((h == batch.column(2)[s].to_numpy()) & (h2 == batch.column(3)[s].to_numpy())))
 
     # What is alive grows with the corpus, so it is merged, never broadcast.
-    sets = source.join(alive.hint("merge"), source.id == alive.rep).select("id", "text", "want").mapInArrow(tidy(make), "rep long, hashes binary")
+    sets = source.join(alive.hint("merge"), source.id == alive.rep).select("id", "text", "want", "want2").mapInArrow(tidy(make), "rep long, hashes binary")
     sets = materialize(sets, "sets")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,27 +423,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     stars = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_stars), "a long, b long")
     clusters = materialize(components(stars), "clusters")
 
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    member = clusters.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other: (i, j) with i <= j.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = member.select("root", F.col("node").alias("rep"), "block", other.alias("o")).select(
-        "root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "rep", "block"
-    )
-    work = tasks.join(sets, "rep").select("root", "i", "j", "rep", "block", "hashes")
-    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(tidy(_search(percent)), "a long, b long")
+    links = cluster_links(clusters, sets, percent)
     joined = components(links)
 
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", F.coalesce("root", "rep").alias("component_id"))
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", "h2", F.coalesce("root", "rep").alias("component_id"))
     named = materialize(named, "named")  # so that a class of many copies can be split in the join
-    return found.join(named, ["n", "h"], "left").select(
+    return found.join(named, ["n", "h", "h2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that name their component: one
-    document of each group of near duplicates. Rows without an id stay."""
-    groups = near_duplicates(docs, words, percent, id_col, text)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_thicket_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_thicket_gone"), "left_anti")
+    """The rows of ``docs``, all columns, that stand for their component: one
+    row of each group of near duplicates, that of the smallest id (nulls last).
+    Rows are compared one by one: repeated rows are near duplicates, rows of one
+    id that are unlike are not, and ids may be of any type. Rows without words
+    all stay."""
+    row = "_thicket_row"
+    while row in docs.columns:
+        row += "_"
+    # A row's number holds only once it is written.
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, words, percent, row, text).where("n_shingles > 0").join(rows.select(row, F.col(f"`{id_col}`").alias("_id")), row)
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row))
+    kept = groups.groupBy("component_id").agg(best.getField(row).alias("_one")).select("_one")
+    gone = groups.select(F.col(row).alias("_gone")).join(kept, F.col("_gone") == F.col("_one"), "left_anti")
+    return rows.join(gone, F.col(row) == F.col("_gone"), "left_anti").drop(row)

@@ -7,14 +7,16 @@ tokens are put in a few random orders in which rare ones tend to come first (the
 chance is the square of their idf), and a document's key is its first token in
 each. Two documents agree in one with the probability of their weighted overlap,
 so in the order of keys over the whole corpus copies are neighbours and like
-texts are near. Blocks of consecutive documents in that order are the shards:
-each holds a BM25 inverted index of its documents, one list a term with the
-weight in every document of the shard (dense, as a shard is small). A seed
-document opens a window; its best-scored unused neighbours fill it; the one that
-does not fit is cut, and its rest seeds the next window. A window left open at a
-shard's end is filled from the next shard of the task, so a task pads one window
-at most. Token ids are shuffled once. Neighbours are scored within a shard, so
-one that the keys did not bring near is not reached; README has the share.
+texts are near. Blocks of consecutive documents in that order are the shards,
+bounded in documents and in tokens: each holds a BM25 inverted index, a list a
+term of the documents that have it and their weights. A seed document opens a
+window; the lists of its terms give the scores of its neighbours, and the best
+unused ones fill the window; the one that does not fit is cut, and its rest seeds
+the next window. Lists lose used documents whenever these are half of all. A
+window left open at a shard's end is filled from the next shard of the task, so a
+task pads one window at most. Token ids are shuffled once. Neighbours are scored
+within a shard, so one that the keys did not bring near is not reached; README
+has the share.
 
 Null texts are empty documents: they hold their end id alone. Repeated rows are
 documents of their own. A document longer than a window fills windows of its
@@ -37,7 +39,7 @@ from thicket.llm.bpe import binary_rows
 from thicket.storage import materialize
 
 WINDOW = 2048
-SHARD_DOCS = 256
+SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 21  # a shard ends at either
 K1, B = 1.2, 0.75
 
 
@@ -88,26 +90,40 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(tidy(run), f"id {kind}, ids binary, term long, n long")
 
 
-class _Index:
-    """BM25 index of a shard; ``ranked`` has each document's neighbours."""
+class InvertedIndex:
+    """BM25 index of a shard: postings sorted by term, and each document's terms."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(x) for x in docs])
-        flat = np.concatenate(docs)
-        used = np.zeros(len(idf), bool)
-        used[flat] = True
-        local = np.cumsum(used) - 1
-        terms = np.flatnonzero(used)
-        n = len(docs)
-        tf = np.bincount(local[flat] * n + np.repeat(np.arange(n), size), minlength=len(terms) * n).reshape(len(terms), n).astype(np.float32)
-        has = tf > 0
-        tf *= (K1 + 1) / (tf + (K1 * (1 - B + B * size / max(mean, 1.0))).astype(np.float32))
-        tf *= idf[terms].astype(np.float32)[:, None]
-        self.score = has.astype(np.float32).T @ tf
-        self.n = n
+        self.n = len(docs)
+        key = np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), size)
+        key, tf = np.unique(key, return_counts=True)
+        token, self.doc = key // self.n, key % self.n
+        self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean, 1.0)))
+        self.term = np.cumsum(np.append(False, token[1:] != token[:-1])) if len(token) else token
+        self._arrange(int(self.term[-1]) + 1 if len(token) else 0)
+
+    def _arrange(self, n_terms: int) -> None:
+        self.begin = np.searchsorted(self.term, np.arange(n_terms + 1))
+        order = np.argsort(self.doc, kind="stable")
+        self.terms_of, self.first = self.term[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
+
+    def keep(self, some: np.ndarray) -> None:
+        """Leaves only the documents of a mask in the lists."""
+        mask = some[self.doc]
+        self.doc, self.weight, self.term = self.doc[mask], self.weight[mask], self.term[mask]
+        self._arrange(len(self.begin) - 1)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all documents against the distinct terms of one."""
+        terms = self.terms_of[self.first[seed] : self.first[seed + 1]]
+        at, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        every = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+        return np.bincount(self.doc[every], self.weight[every], self.n)
 
     def ranked(self, seed: int) -> np.ndarray:
-        return np.argsort(-self.score[seed], kind="stable")
+        """Documents by score, ties in the order of the shard."""
+        return np.argsort(-self.scores(seed), kind="stable")
 
 
 class WindowPacker:
@@ -140,9 +156,12 @@ class WindowPacker:
             return self.open_id < 0
 
         free = at < size
-        index = _Index(docs, idf, mean) if free.sum() > 1 else None
-        seed = -1
-        while free.any():
+        index = InvertedIndex(docs, idf, mean) if free.sum() > 1 else None
+        seed, listed = -1, len(docs)
+        while n_free := int(free.sum()):
+            if 2 * n_free <= listed and n_free > 16:
+                index.keep(free)
+                listed = n_free
             if seed < 0 or not free[seed]:
                 seed = int(np.argmax(free))
             if not put(seed) and free.any():
@@ -203,6 +222,7 @@ def _pack(tokens: DataFrame, idf: np.ndarray, mean: float, id_col: str, window:
         packer = WindowPacker(window, TaskContext.get().partitionId() << 36)
         names: list = []
         docs: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             pieces = packer.shard(docs, shared.value, mean)
@@ -214,17 +234,16 @@ def _pack(tokens: DataFrame, idf: np.ndarray, mean: float, id_col: str, window:
             return pa.RecordBatch.from_arrays([column, pa.array(start), pa.array(length), ids, pa.array(total), pa.array(seq), pa.array(offset)], [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            width = len(shared.value) > 1 << 16
-            i = 0
-            while i < batch.num_rows:
-                n = min(shard_docs - len(docs), batch.num_rows - i)
-                docs += [np.frombuffer(x.as_py(), "<u4" if width else "<u2") for x in batch.column(1).slice(i, n)]
-                names.append(batch.column(0).slice(i, n))
-                i += n
-                if len(docs) == shard_docs:
+            width = "<u4" if len(shared.value) > 1 << 16 else "<u2"
+            for i, x in enumerate(batch.column(1)):
+                docs.append(np.frombuffer(x.as_py(), width))
+                names.append(batch.column(0).slice(i, 1))
+                held += len(docs[-1])
+                if len(docs) >= shard_docs or held >= SHARD_TOKENS:
                     yield flush()
                     names.clear()
                     docs.clear()
+                    held = 0
         if docs:
             yield flush()
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._words import SPACE, Chunk, Words, chunks, mix64, segment_hash, shingles, tidy
+from thicket.llm._words import SPACE, Chunk, Words, chunks, exact_codes, mix64, tidy
 from thicket.storage import materialize
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,6 +42,15 @@ def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[off])
 
 
+_STEP = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def _distinct(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """How many codes each row has."""
+    top = int(code.max(initial=0)) + 1
+    return np.bincount(np.unique(row * top + code) // top, minlength=n) if len(code) else np.zeros(n, np.int64)
+
+
 def text_stats(chunk: Chunk) -> dict[str, np.ndarray]:
     """Exact statistics of each row of a chunk."""
     buf, off, n = chunk.buf, chunk.off, len(chunk)
@@ -55,11 +64,9 @@ def text_stats(chunk: Chunk) -> dict[str, np.ndarray]:
         "n_letters": _per_row(_LETTER[buf], off),
         "n_marks": _per_row(_MARK[buf], off),
     }
-    salt = mix64(np.arange(1, n + 1, dtype=np.uint64))
     row = np.repeat(np.arange(n), out["n_words"])
-    # 20 bits hold any row of a chunk; the votes alone use this count.
-    key = np.sort((row.astype(np.uint64) << np.uint64(44)) | (words.hash >> np.uint64(20)))
-    out["n_distinct"] = np.bincount((key[np.append(True, key[1:] != key[:-1])] >> np.uint64(44)).astype(np.int64), minlength=n) if len(key) else np.zeros(n, np.int64)
+    code = words.codes()
+    out["n_distinct"] = _distinct(row, code, n)
 
     rows = np.flatnonzero(np.diff(off) > 0)
     start = np.unique(np.concatenate([off[rows], np.flatnonzero(buf == 10) + 1]))
@@ -70,20 +77,23 @@ def text_stats(chunk: Chunk) -> dict[str, np.ndarray]:
     real = filled[start + size] > filled[start] if len(start) else np.zeros(0, bool)
     start, size = start[real], size[real]
     line_row = np.searchsorted(off, start, side="right") - 1
-    key = segment_hash(buf, start, size) ^ salt[line_row]
     out["n_lines"] = np.bincount(line_row, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(line_row[np.unique(key, return_index=True)[1]], minlength=n)
+    out["n_dup_lines"] = out["n_lines"] - _distinct(line_row, exact_codes(buf, start, size), n)
 
     out["n_repeat_words"] = np.zeros(n, np.int64)
     long = np.maximum(out["n_words"] - 2, 0)
     if long.sum():
         at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long - words.off[:-1], long)
-        h, h_off = shingles(words, 3)
-        sized = np.repeat(out["n_words"] >= 3, np.diff(h_off))
-        key = h[sized] ^ salt[row[at]]
+        c = code.astype(np.uint64)
+        key = mix64(mix64(mix64(row[at].astype(np.uint64) * _STEP[0] + c[at]) * _STEP[1] + c[at + 1]) * _STEP[2] + c[at + 2])
         order = np.sort(key)
-        found = at[np.isin(key, order[1:][order[1:] == order[:-1]])]
-        covered = np.zeros(len(words.hash), bool)
+        at = at[np.isin(key, order[1:][order[1:] == order[:-1]])]  # all that come twice, and by chance others
+        order = at[np.lexsort((code[at + 2], code[at + 1], code[at], row[at]))]
+        twin = np.ones(max(len(order) - 1, 0), bool)
+        for x in (row, code, code[1:], code[2:]):
+            twin &= x[order[1:]] == x[order[:-1]]
+        found = np.union1d(order[1:][twin], order[:-1][twin])
+        covered = np.zeros(len(code), bool)
         for k in range(3):
             covered[found + k] = True
         out["n_repeat_words"] = np.bincount(row[covered], minlength=n)
