@@ -101,8 +101,8 @@ def test_packing_places_every_id_once(spark, odd_docs, no_docs):
 def test_packing_prefers_lexical_neighbours():
     docs = [np.array(x) for x in ([1, 2, 3, 4], [9, 9, 8, 7], [1, 2, 3, 5], [9, 8, 7, 6])]
     index = packing.InvertedIndex(docs, np.ones(10), 4.0)
-    assert index.ranked(0)[1] == 2
-    assert index.ranked(1)[1] == 3
+    assert list(index.ranked(0, np.ones(4, bool)))[1] == 2
+    assert list(index.ranked(1, np.ones(4, bool)))[1] == 3
     out = packing.WindowPacker(8, 0).shard(docs, np.ones(10), 4.0)
     assert [d for d, *_ in out] == [0, 2, 1, 3]
 
@@ -144,7 +144,7 @@ def plain_packer(docs, idf, mean, window):
             seed = left[0]
         if put(seed):
             continue
-        scores = np.round(plain_bm25(docs, idf, mean, seed), 9)
+        scores = np.round(plain_bm25(docs, idf, mean, seed), 4)
         for i in sorted((i for i in left if i != seed), key=lambda i: -scores[i]):
             if put(i):
                 seed = i
@@ -158,16 +158,16 @@ def test_scores_equal_brute_force():
     idf = rng.random(40)
     index, free = packing.InvertedIndex(docs, idf, 30.0), rng.random(50) < 0.5
     for seed in range(50):
-        assert index.scores(seed) == pytest.approx(plain_bm25(docs, idf, 30.0, seed))
+        assert index.scores(seed) == pytest.approx(plain_bm25(docs, idf, 30.0, seed), rel=1e-5)
     index.keep(free)
     for seed in np.flatnonzero(free):
-        assert index.scores(seed)[free] == pytest.approx(np.array(plain_bm25(docs, idf, 30.0, seed))[free])
+        assert index.scores(seed)[free] == pytest.approx(np.array(plain_bm25(docs, idf, 30.0, seed))[free], rel=1e-5)
 
 
 def test_choice_of_neighbours_equals_brute_force():
     rng = np.random.default_rng(4)
     idf = rng.random(300) + 0.1
-    docs = [rng.integers(0, 300, rng.choice([1, 3, 20, 50, 90])) for _ in range(120)]
+    docs = [rng.integers(0, 300, rng.choice([1, 3, 20, 50, 90])) // rng.choice([1, 30]) for _ in range(400)]
     docs += [docs[3].copy(), docs[7].copy(), np.arange(200), np.zeros(64, np.int64)]
     got = packing.WindowPacker(64, 0).shard(docs, idf, 30.0)
     assert [tuple(map(int, p)) for p in got] == plain_packer(docs, idf, 30.0, 64)

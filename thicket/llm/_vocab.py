@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 from thicket.llm._pretok import token_starts
-from thicket.llm._words import Chunk, same_segments, segment_hash, words8
+from thicket.llm._words import MASK, Chunk, same_segments, segment_hash, words8
 
 SLOTS = 1 << 21
 
@@ -35,6 +35,7 @@ class CachedEncoder:
         self.len = np.zeros(self.slots, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.size = np.zeros(self.slots, np.int32)
+        self.word = np.zeros(self.slots, np.uint64)  # the first eight bytes
         self.byte_at = np.zeros(self.slots, np.int64)
         self.bytes = np.zeros(1 << 16, np.uint8)  # the last eight stay free
         self.used = self.filled = self.held = 0
@@ -51,8 +52,8 @@ class CachedEncoder:
             open_ = open_[(there != h[open_]) & (there != 0)]
         return slot, self.keys[slot] == h
 
-    def _keep(self, pieces: list[bytes]) -> np.ndarray:
-        """Where the bytes of new slices are kept."""
+    def _keep(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of new slices are kept, and their sizes."""
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         if self.held + len(flat) + 8 > len(self.bytes):
             grown = np.zeros(max(2 * len(self.bytes), self.held + len(flat) + 8), np.uint8)
@@ -62,10 +63,14 @@ class CachedEncoder:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         at = self.held + np.cumsum(size) - size
         self.held += len(flat)
-        return at
+        return at, size
+
+    def _kept(self) -> np.ndarray:
+        return np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
 
     def _add(self, h: np.ndarray, pieces: list[bytes]) -> None:
-        ids, kept = [self.encode_slice(x) for x in pieces], self._keep(pieces)
+        ids, (kept, size) = [self.encode_slice(x) for x in pieces], self._keep(pieces)
+        word = self._kept()[kept] & MASK[np.minimum(size, 8)]
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.int32, int(lens.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -82,7 +87,7 @@ class CachedEncoder:
             _, first = np.unique(slot, return_index=True)
             s, i = slot[first], left[first]
             self.keys[s], self.at[s], self.len[s] = h[i], at[i], lens[i]
-            self.byte_at[s], self.size[s] = kept[i], [len(pieces[x]) for x in i]
+            self.byte_at[s], self.size[s], self.word[s] = kept[i], size[i], word[i]
             left = np.delete(left, first)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,10 +116,9 @@ class CachedEncoder:
             self._add(new, [raw[a:b] for a, b in zip(s.tolist(), e.tolist())])
             slot, found = self._find(h)
         n, at, pool = self.len[slot], self.at[slot], self.pool
-        kept = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
-        same = size == self.size[slot]
-        own = np.flatnonzero(same)
-        same[own] = same_segments(view, start[own], kept, self.byte_at[slot[own]], size[own])
+        same = (size == self.size[slot]) & ((view[start] & MASK[np.minimum(size, 8)]) == self.word[slot])
+        long = np.flatnonzero(same & (size > 8))
+        same[long] = same_segments(view, start[long] + 8, self._kept(), self.byte_at[slot[long]] + 8, size[long] - 8)
         if not same.all():
             # Another slice has this hash: these are encoded outside the cache.
             other, raw = np.flatnonzero(~same), buf.tobytes()

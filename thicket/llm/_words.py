@@ -23,7 +23,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U = np.uint64
 
 
-_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _HUGE = 4096
 
 
@@ -133,11 +133,11 @@ def segment_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray, lane: int
     """64-bit hashes of byte segments, eight bytes at a step for all at once."""
     view = words8(buf) if view is None else view
     sized = mix64(size.astype(np.uint64) * _SIZE[lane] + _SEED[lane])
-    first = view[start] & _MASK[np.minimum(size, 8)]
+    first = view[start] & MASK[np.minimum(size, 8)]
     h = mix64((first * _BLOCK[lane] if lane else first) ^ sized)
     more, k = np.flatnonzero((size > 8) & (size <= _HUGE)), 8
     while len(more):
-        w = view[start[more] + k] & _MASK[np.minimum(size[more] - k, 8)]
+        w = view[start[more] + k] & MASK[np.minimum(size[more] - k, 8)]
         h[more] = mix64((h[more] ^ w) * _BLOCK[lane] + sized[more])
         k += 8
         more = more[size[more] > k]
@@ -149,10 +149,10 @@ def segment_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray, lane: int
 
 def same_segments(view: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether segments of equal size hold the same bytes (``words8`` of each)."""
-    same = ((view[start] ^ other[at]) & _MASK[np.minimum(size, 8)]) == 0
+    same = ((view[start] ^ other[at]) & MASK[np.minimum(size, 8)]) == 0
     more, k = np.flatnonzero(same & (size > 8)), 8
     while len(more):
-        same[more] = ((view[start[more] + k] ^ other[at[more] + k]) & _MASK[np.minimum(size[more] - k, 8)]) == 0
+        same[more] = ((view[start[more] + k] ^ other[at[more] + k]) & MASK[np.minimum(size[more] - k, 8)]) == 0
         k += 8
         more = more[same[more] & (size[more] > k)]
     return same

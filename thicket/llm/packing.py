@@ -39,7 +39,7 @@ from thicket.llm.bpe import binary_rows
 from thicket.storage import materialize
 
 WINDOW = 2048
-SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 21  # a shard ends at either
+SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 21  # a shard ends at either
 K1, B = 1.2, 0.75
 
 
@@ -91,39 +91,58 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
 
 
 class InvertedIndex:
-    """BM25 index of a shard: postings sorted by term, and each document's terms."""
+    """BM25 index of a shard: a list a term, and each document's terms. Terms in
+    an eighth of the documents or more have their weights in every document, so
+    that their lists are added whole; the others list documents and weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(x) for x in docs])
         self.n = len(docs)
         key = np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), size)
         key, tf = np.unique(key, return_counts=True)
-        token, self.doc = key // self.n, key % self.n
-        self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean, 1.0)))
-        self.term = np.cumsum(np.append(False, token[1:] != token[:-1])) if len(token) else token
-        self._arrange(int(self.term[-1]) + 1 if len(token) else 0)
-
-    def _arrange(self, n_terms: int) -> None:
-        self.begin = np.searchsorted(self.term, np.arange(n_terms + 1))
-        order = np.argsort(self.doc, kind="stable")
-        self.terms_of, self.first = self.term[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        token, doc = key // self.n, key % self.n
+        weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
+        term = np.cumsum(np.append(False, token[1:] != token[:-1])) if len(token) else token
+        self._arrange(doc.astype(np.int32), weight.astype(np.float32), term.astype(np.int32))
+
+    def _arrange(self, doc: np.ndarray, weight: np.ndarray, term: np.ndarray) -> None:
+        order = np.argsort(doc, kind="stable")
+        self.terms_of, self.first = term[order], np.searchsorted(doc[order], np.arange(self.n + 1))
+        begin = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
+        often = np.diff(begin) * 8 >= len(np.unique(doc))
+        self.dense = np.full(len(often), -1)
+        self.dense[often] = np.arange(often.sum())
+        self.rows = np.zeros((int(often.sum()), self.n), np.float32)
+        own = often[term]
+        self.rows[self.dense[term[own]], doc[own]] = weight[own]
+        self.doc, self.weight, self.term, self.begin = doc, weight, term, begin
 
     def keep(self, some: np.ndarray) -> None:
         """Leaves only the documents of a mask in the lists."""
         mask = some[self.doc]
-        self.doc, self.weight, self.term = self.doc[mask], self.weight[mask], self.term[mask]
-        self._arrange(len(self.begin) - 1)
+        self._arrange(self.doc[mask], self.weight[mask], self.term[mask])
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents against the distinct terms of one."""
         terms = self.terms_of[self.first[seed] : self.first[seed + 1]]
+        row = self.dense[terms]
+        terms = terms[row < 0]
         at, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         every = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
-        return np.bincount(self.doc[every], self.weight[every], self.n)
-
-    def ranked(self, seed: int) -> np.ndarray:
-        """Documents by score, ties in the order of the shard."""
-        return np.argsort(-self.scores(seed), kind="stable")
+        out = np.bincount(self.doc[every], self.weight[every], self.n)
+        return out + np.add.reduce(self.rows[row[row >= 0]], axis=0)
+
+    def ranked(self, seed: int, among: np.ndarray) -> Iterator[int]:
+        """The documents of a mask by score, ties in the order of the shard."""
+        own = np.flatnonzero(among)
+        score = self.scores(seed)[own]
+        best = np.arange(len(own))
+        if len(own) > 256:  # these do as a rule
+            best = np.flatnonzero(score >= np.partition(score, -64)[-64])
+        yield from own[best[np.argsort(-score[best], kind="stable")]]
+        if len(best) < len(own):
+            rest = np.setdiff1d(np.arange(len(own)), best)
+            yield from own[rest[np.argsort(-score[rest], kind="stable")]]
 
 
 class WindowPacker:
@@ -165,8 +184,8 @@ class WindowPacker:
             if seed < 0 or not free[seed]:
                 seed = int(np.argmax(free))
             if not put(seed) and free.any():
-                for i in index.ranked(seed):
-                    if free[i] and put(i):
+                for i in index.ranked(seed, free):
+                    if put(i):
                         seed = i  # what is left of it comes next
                         break
         return out
