@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.text import utf16_width
-from thicket.operators.tree import mark_duplicates, with_names
+from thicket.operators.tree import mark_duplicates, with_derived, with_names
+from thicket.storage import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +58,60 @@ def orders_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(n).drop("_order", "_rank", "_root", "_size", "comp", "c_name")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders_catalog`` as a table: made once a session, dealt by file and
+    sorted by last component, so that an exact pattern reads few row groups."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = scratch_path(spark, "orders-catalog")
+        orders_catalog(spark, sf_dir).repartition("file").sortWithinPartitions("leaf_base", "file", "preorder").write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+#: One extension an adapter, dealt over the customers by their keys.
+SUFFIXES = [".go", ".ts", ".md", ".py", ".cpp", ".php", ".rs"]
+
+
+def workspace_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stored_orders`` with files of every adapter."""
+    k = F.regexp_extract("file", r"#(\d+)\.sym$", 1).cast("int")
+    ext = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), k % len(SUFFIXES) + 1)
+    return stored_orders(spark, sf_dir).withColumn("file", F.concat(F.regexp_replace("file", r"\.sym$", ""), ext))
+
+
+CODE = ["class A {", "  prop;", "  function use() {", "    it.prop;", "  }", "}"]
+
+
+def code_files(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """A small class for every part: ``file, content, k``."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return part.select(F.concat(F.lit("src/p"), "k", F.lit(ext)).alias("file"), F.lit("\n".join(CODE)).alias("content"), "k")
+
+
+def code_catalog(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """Its symbols: a class, a property and a method."""
+    rows = [("A", 5, None, 0, 0, 0, 5, 1, 2), ("A/prop", 7, 0, 1, 1, 2, 1, 7, 1), ("A/use", 6, 0, 2, 2, 2, 4, 3, 2)]
+    nodes = [
+        F.struct(
+            F.lit(i).cast("long").alias("node_id"), F.lit(up).cast("long").alias("parent_id"), F.lit(path.count("/")).alias("depth"), F.lit(i).cast("long").alias("preorder"),
+            F.lit(end).cast("long").alias("subtree_end"), F.lit(kind).alias("kind"), F.array(*map(F.lit, path.split("/"))).alias("components"),
+            F.array(*map(F.lit, [0] if up is None else [0, i - 1])).alias("ord_path"), F.lit(sl).alias("start_line"), F.lit(sc).alias("start_char"), F.lit(el).alias("end_line"),
+            F.lit(ec).alias("end_char"), F.lit(sl).alias("sel_line"), F.lit(sc).alias("sel_char"),
+        )
+        for path, kind, up, i, sl, sc, el, ec, end in rows
+    ]
+    return with_derived(code_files(spark, sf_dir, ext).select("file", F.explode(F.array(*nodes)).alias("n")).select("file", "n.*"))
+
+
 def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item is a reference to its part: ``ref_id, file, line, char,
     part``. It stands before its own symbol on the line, inside its order's;
     every seventh item's stands beyond the file's end."""
-    symbols = orders_catalog(spark, sf_dir).where(F.col("depth") == 2).select("file", "o", "l", "preorder")
+    symbols = stored_orders(spark, sf_dir).where(F.col("depth") == 2).select("file", "o", "l", "preorder")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     joined = symbols.join(items, (F.col("o") == F.col("l_orderkey")) & (F.col("l") == F.col("l_linenumber")))
     line = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 7 == 0, F.lit(100_000)).otherwise(F.col("preorder")).cast("int")

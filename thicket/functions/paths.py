@@ -117,32 +117,29 @@ def position_in(line: Column, char: Column, sl: Column, sc: Column, el: Column,
 # -- per language -------------------------------------------------------------
 
 
-def go_receiver(text: str) -> str:
-    text = text.strip().removeprefix("(").removeprefix("*").removesuffix(")").removeprefix("*")
-    return text.split("[", 1)[0].rpartition(".")[2].strip()
+#: A method's name: a receiver that is in brackets, a pointer, generic, of
+#: another package or begins in upper case, then the method.
+_GO_METHOD = re.compile(
+    r"""(?xs) (?= [^.]*[()*\[] | .*[()*\[\]].*\. | .+\..+\. | [A-Z] )      # a receiver, not a package
+        \s* \(? \s* \*? \(? (?: [^\[\].]+ \. )* (?P<type> [^\[\].()*\s]+ )  # its type, less package
+        \s* (?: \[ .* \] )? \s* \)? \s* \. (?P<method> [^.]+ ) \Z"""
+)
 
 
 def go_path(parent: str, name: str) -> str:
     """``(*T[X]).M`` becomes ``T/M``; a plain dotted name stays."""
-    left, dot, right = name.rpartition(".")
-    if dot and left and right:
-        receiver = go_receiver(left)
-        if receiver and (receiver != left or re.search(r"[()*\[]", left) or left[0].isupper()):
-            parent, name = parent or receiver, right
-    return f"{parent}/{name}" if parent else name
+    method = _GO_METHOD.match(name)
+    return plain_path(parent or method["type"], method["method"]) if method else plain_path(parent, name)
 
 
 def plain_path(parent: str, name: str) -> str:
     return f"{parent}/{name}" if parent else name
 
 
-def _go_package(text: str) -> bool:
-    return bool(text) and text[0].islower() and all(c.islower() or c.isdecimal() or c == "_" for c in text)
-
-
-def _unqualified(text: str) -> str:
-    package, dot, symbol = text.rpartition(".")
-    return symbol if dot and symbol and symbol[0].isalpha() and _go_package(package) else text
+#: A package is lower-case letters, digits and underscores; it qualifies a
+#: symbol by a slash (where more follows) or by a dot.
+_GO_PACKAGE = r"[^\W\d_A-Z][^\WA-Z]*"
+_QUALIFIED = re.compile(rf"(?s)(?:(?P<folder>{_GO_PACKAGE})/(?=(?:{_GO_PACKAGE}\.)?[^\W\d_]))?(?:(?P<package>{_GO_PACKAGE})\.(?=[^\W\d_][^./]*(?:/|\Z)))?(?P<rest>.*)")
 
 
 def go_query(path: str) -> str:
@@ -150,10 +147,9 @@ def go_query(path: str) -> str:
     path = path.strip()
     if not path or path.startswith("/"):
         return path
-    parts = path.split("/")
-    if len(parts) > 1 and _go_package(parts[0]) and _unqualified(parts[1])[:1].isalpha():
-        parts = parts[1:]
-    return "/".join([_unqualified(parts[0]), *parts[1:]])
+    found = _QUALIFIED.fullmatch(path)
+    lower = all(found[g] is None or found[g] == found[g].lower() for g in ("folder", "package"))
+    return found["rest"] if lower else path
 
 
 RUST_IMPL = "impl "
@@ -207,3 +203,18 @@ def extension(file: Column) -> Column:
 def stem(file: Column) -> Column:
     """Base name without its extension."""
     return F.regexp_replace(F.substring_index(file, "/", -1), r"\.[^.]*$", "")
+
+
+def relative_from_uri(uri: Column, root: str) -> Column:
+    """A file URI as a path relative to the workspace; outside it is an error."""
+    path = F.url_decode(F.replace(F.regexp_replace(uri, r"^file://[^/]*", ""), F.lit("+"), F.lit("%2B")))
+    clean = clean_path(path)
+    top = "/".join(p for p in root.split("/") if p)
+    inside = F.when(clean == top, ".").when(clean.startswith(top + "/"), F.substring(clean, len(top) + 2, 1 << 20))
+    return F.coalesce(inside, F.raise_error(F.concat(F.lit("path points outside the workspace: "), path)).cast("string")) if top else clean
+
+
+def clean_path(path: Column) -> Column:
+    """``a/b/./../c`` to ``a/c``; a step above the root gives null."""
+    step = lambda acc, p: F.when((p == "") | (p == "."), acc).when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.array_append(acc, p))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: how a hover text that is none begins.
+NO_SOURCE = "Could not find source with "
+
+
 def lines_of(content: Column) -> Column:
     """Split on line feeds alone; a carriage return stays with its line."""
     return F.split(content, "\n", -1)
@@ -80,9 +84,11 @@ def declaration_line(content: Column, first: Column, last: Column, leaf: Column)
 
 
 def info_or_declaration(info: Column, content: Column, first: Column, last: Column, leaf: Column) -> Column:
-    """Hover text, unless there is none or it only says that it has none."""
-    missing = (F.coalesce(F.trim(info), F.lit("")) == "") | info.startswith("Could not find source with ")
-    return F.when(missing, F.coalesce(declaration_line(content, first, last, leaf), info)).otherwise(info)
+    """Hover text, unless there is none or it only says that it has none; null
+    if there is no such line either."""
+    told = F.trim(F.coalesce(info, F.lit("")), F.lit(" \t\r\n"))
+    missing = (told == "") | told.startswith(NO_SOURCE)
+    return F.when(missing, declaration_line(content, first, last, leaf)).otherwise(told)
 
 
 def json_bytes(text: Column) -> Column:

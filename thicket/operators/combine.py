@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions.paths import clean_path
+
 KEY = ["name_path", "file", "first_line", "last_line"]
 
 
@@ -80,12 +82,6 @@ def resolve_aliases(aliases: DataFrame, definitions: DataFrame, symbols: DataFra
     )
 
 
-def clean_path(path):
-    """``a/b/./../c`` to ``a/c``; a step above the root gives null."""
-    step = lambda acc, p: F.when((p == "") | (p == "."), acc).when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.array_append(acc, p))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
 def rewrite_target(targets: DataFrame, resolved: DataFrame) -> DataFrame:
     """A reference search on an alias looks for what is behind it."""
     first = resolved.where(F.col("source_file").isNotNull()).groupBy("file", F.col("name").alias("path")).agg(F.min(F.struct("line", "char", "source_file", "source_path")).alias("s"))

@@ -56,29 +56,32 @@ def keep_kinds(located: DataFrame, include: tuple[int, ...] = (), exclude: tuple
 
 
 def with_evidence(located: DataFrame, contents: DataFrame, end_line: Column | None = None) -> DataFrame:
-    """The lines around each reference. ``contents``: file, content."""
-    out = located.join(contents.select("file", F.col("content").alias("_text")), "file")
+    """The lines around each reference. ``contents``: file, content. A file
+    that has none fails the call, as lines outside it do."""
+    out = located.join(contents.select("file", F.col("content").alias("_text")), "file", "left")
+    lost = F.raise_error(F.concat(F.lit("a referencing file cannot be read: "), "file")).cast("string")
+    out = out.withColumn("_text", F.when(F.col("_text").isNull(), lost).otherwise(F.col("_text")))
     a, b, text = snippet(F.col("_text"), F.col("line"), F.col("line") if end_line is None else end_line)
     return out.withColumns({"content_start": a, "content_end": b, "content": text}).drop("_text")
 
 
 def grouped(located: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row a container (path, file, lines): its first reference by line
-    and column, ties by ``ref_id``, and how many there were."""
+    """One row a container (path, file, lines): its first reference by line,
+    last line and column, ties by ``ref_id``, and how many there were. Partial
+    aggregates, so a container of very many references is combined before it is
+    sent; what ``extra`` names travels only with a task's first one."""
     key = ["name_path", "file", "first_line", "last_line"]
-    carry = ["kind", "line", "char", "ref_id", *(extra or [])]
-    first = Window.partitionBy(*key).orderBy("line", "char", "ref_id")
-    n = F.count("*").over(Window.partitionBy(*key))
-    picked = located.select(*key, *carry).withColumns({"n_refs": n, "_n": F.row_number().over(first)})
-    return picked.where(F.col("_n") == 1).drop("_n")
+    extra = extra or []
+    end = F.coalesce("end_line", "line") if "end_line" in located.columns else F.col("line")
+    order = F.struct("line", end.alias("end"), "char", "ref_id")
+    head = F.min_by(F.struct("kind", "line", "char", "ref_id", *extra), order).alias("h")
+    found = located.groupBy(*key).agg(head, F.count("*").alias("n_refs"))
+    return found.select(*key, *(F.col(f"h.{c}").alias(c) for c in ["kind", "line", "char", "ref_id", *extra]), "n_refs")
 
 
 def grouped_counts(located: DataFrame) -> DataFrame:
-    """``grouped`` without snippets: partial aggregates, so a container with
-    very many references is combined before it is sent."""
-    key = ["name_path", "file", "first_line", "last_line"]
-    head = F.min(F.struct("line", "char", "ref_id", "kind")).alias("h")
-    return located.groupBy(*key).agg(head, F.count("*").alias("n_refs")).select(*key, "h.kind", "h.line", "h.char", "h.ref_id", "n_refs")
+    """``grouped`` without snippets."""
+    return grouped(located)
 
 
 def by_file(rows: DataFrame) -> DataFrame:
@@ -104,3 +107,15 @@ def smallest_in_overview(points: DataFrame, symbols: DataFrame, depth: int = 32)
     held = points.join(sym, (F.col("file") == F.col("_f")) & F.col("line").between(F.col("first_line"), F.col("last_line"))).drop("_f")
     best = Window.partitionBy("ref_id").orderBy(F.col("last_line") - F.col("first_line"), "preorder")
     return held.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).drop("_n", "preorder")
+
+
+def look_unfinished(found: DataFrame, targets: DataFrame, workflow: DataFrame) -> DataFrame:
+    """A data-quality check: references are suspect where none lies outside the
+    target's own file although its workflow has other files. ``found``: target_file,
+    file; ``targets``: target_file; ``workflow``: target_file, file. Adds
+    ``suspect`` to the targets."""
+    elsewhere = lambda df: df.where(F.col("file") != F.col("target_file")).select("target_file").distinct()
+    other = elsewhere(workflow).withColumn("_more", F.lit(True))
+    seen = elsewhere(found).withColumn("_seen", F.lit(True))
+    out = targets.join(other, "target_file", "left").join(seen, "target_file", "left")
+    return out.withColumn("suspect", F.col("_more").isNotNull() & F.col("_seen").isNull()).drop("_more", "_seen")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket.functions.paths import Pattern, kind_filter, scope_filter
 from thicket.functions.text import body_of
 from thicket.model import FindRequest, SafeError, ambiguous, no_match
+from thicket.operators.shape import top_ranked
 
 FOUND = ["kind", "body", "info", "name_path", "file", "first_line", "last_line"]
 
@@ -59,11 +60,10 @@ def find(symbols: DataFrame, request: FindRequest, files: DataFrame | None = Non
     return nodes.select("kind", body.alias("body"), info.alias("info"), "name_path", "file", "first_line", "last_line", "preorder")
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """By file and position, in a total order. Only for results to be shown:
-    the rank over all rows is one task's work."""
+def ranked(found: DataFrame, budget: int) -> DataFrame:
+    """By file and position, in a total order: as many as ``budget`` bytes can hold."""
     order = ["file", "first_line", "last_line", "name_path", "kind", *(["preorder"] if "preorder" in found.columns else [])]
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top_ranked(found, order, budget)
 
 
 def ranked_in_file(found: DataFrame) -> DataFrame:

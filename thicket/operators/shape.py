@@ -9,9 +9,19 @@ from thicket.functions.paths import range_text
 from thicket.functions.text import json_bytes
 from thicket.model import SafeError
 
+# Fixed value: the public text of a response that cannot be cut to size.
 TOO_LARGE = "tool response is too large; narrow the query"
 
 
+def top_ranked(rows: DataFrame, order: list[str], budget: int) -> DataFrame:
+    """``rank`` from 1 in a total order. As an item takes more than a byte, no
+    more than ``budget`` rows can be sent: each task keeps its own first ones,
+    and only these are ranked together. Without a budget all rows are."""
+    if budget > 0:
+        rows = rows.orderBy(*order).limit(budget)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def kind_groups(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows (``rank, kind, name_path, first_line, last_line``) grouped by kind,
     groups in the order of first appearance: ``group_rank``, ``pos`` (from 1)."""
@@ -97,20 +107,21 @@ def limited_overview(items: DataFrame, budget: int) -> tuple[DataFrame, int | No
     return _limited(items, fits, budget, OVERVIEW_ENVELOPE)
 
 
-def limited_found(ranked: DataFrame, budget: int) -> tuple[DataFrame, int | None]:
-    """The rows that fit, and the percentage if some do not."""
-    return _limited(ranked, within_budget(ranked, found_item(), budget, FOUND_ENVELOPE), budget, FOUND_ENVELOPE)
+def limited_found(ranked: DataFrame, budget: int, total: int | None = None) -> tuple[DataFrame, int | None]:
+    """The rows that fit, and the percentage if some do not. ``total`` is how
+    many there are, where ``ranked`` holds only the first."""
+    return _limited(ranked, within_budget(ranked, found_item(), budget, FOUND_ENVELOPE), budget, FOUND_ENVELOPE, total)
 
 
-def limited_references(ranked: DataFrame, budget: int, incomplete: bool = False) -> tuple[DataFrame, int | None]:
+def limited_references(ranked: DataFrame, budget: int, incomplete: bool = False, total: int | None = None) -> tuple[DataFrame, int | None]:
     base = FILES_ENVELOPE + INCOMPLETE_BYTES * incomplete
-    return _limited(ranked, within_budget(ranked, reference_item(), budget, base, "file", file_frame(F.col("file"))), budget, base)
+    return _limited(ranked, within_budget(ranked, reference_item(), budget, base, "file", file_frame(F.col("file"))), budget, base, total)
 
 
-def _limited(rows: DataFrame, fits: DataFrame, budget: int, envelope: int) -> tuple[DataFrame, int | None]:
+def _limited(rows: DataFrame, fits: DataFrame, budget: int, envelope: int, total: int | None = None) -> tuple[DataFrame, int | None]:
     if budget <= 0:
         return rows, None
-    total, kept = rows.count(), fits.count()
+    kept, total = fits.count(), rows.count() if total is None else total
     if kept == total:
         return rows, None
     if envelope >= budget or not kept:

@@ -32,14 +32,22 @@ class Node:
 
 
 def decode(payload: dict, build: Callable[[str, str], str], parent: str = "") -> Node:
-    """One raw symbol, of either shape."""
-    if "location" in payload:
-        span = payload["location"]["range"]
-        path = build((payload.get("containerName") or "").strip(), payload["name"])
-        return Node(payload["kind"], path, span, (span["start"]["line"], span["start"]["character"]), [])
-    path = build(parent, payload["name"])
-    sel = payload["selectionRange"]["start"]
-    return Node(payload["kind"], path, payload["range"], (sel["line"], sel["character"]), [decode(c, build, path) for c in payload.get("children") or []])
+    """One raw symbol, of either shape, and all below it (without recursion:
+    trees may be deep)."""
+    roots: list[Node] = []
+    todo = [(payload, parent, roots)]
+    while todo:
+        raw, above, siblings = todo.pop()
+        if "location" in raw:
+            span = raw["location"]["range"]
+            path = build((raw.get("containerName") or "").strip(), raw["name"])
+            siblings.append(Node(raw["kind"], path, span, (span["start"]["line"], span["start"]["character"]), []))
+            continue
+        path, sel = build(above, raw["name"]), raw["selectionRange"]["start"]
+        node = Node(raw["kind"], path, raw["range"], (sel["line"], sel["character"]), [])
+        siblings.append(node)
+        todo += [(c, path, node.children) for c in reversed(raw.get("children") or [])]
+    return roots[0]
 
 
 def split_path(path: str) -> tuple[str, str]:
@@ -51,50 +59,70 @@ def split_path(path: str) -> tuple[str, str]:
 
 def disambiguate(nodes: list[Node], parent: str = "") -> None:
     """Roots group under the parent that their own path names."""
-    named = []
-    for n in nodes:
-        own_parent, leaf = split_path(n.path)
-        named.append((n, parent or own_parent, leaf))
-    seen = Counter(plain_path(p, leaf) for _, p, leaf in named)
-    for n, p, leaf in named:
-        mark = f"@{n.sel[0]}:{n.sel[1]}" if seen[plain_path(p, leaf)] > 1 else ""
-        n.path = plain_path(p, leaf + mark)
-        disambiguate(n.children, n.path)
+    todo = [(nodes, parent)]
+    while todo:
+        siblings, above = todo.pop()
+        named = []
+        for n in siblings:
+            own_parent, leaf = split_path(n.path)
+            named.append((n, above or own_parent, leaf))
+        seen = Counter(plain_path(p, leaf) for _, p, leaf in named)
+        for n, p, leaf in named:
+            mark = f"@{n.sel[0]}:{n.sel[1]}" if seen[plain_path(p, leaf)] > 1 else ""
+            n.path = plain_path(p, leaf + mark)
+            todo.append((n.children, n.path))
 
 
 def _rows(file: str, roots: list[Node]) -> Iterator[list]:
-    count = 0
-
-    def walk(n: Node, parent: int | None, depth: int, where: list[int]) -> Iterator[list]:
-        nonlocal count
-        me, count = count, count + 1
+    """In pre-order; a node's last column but one of its interval is set once
+    what is below it has been counted."""
+    out: list[list] = []
+    todo: list[tuple] = [(n, None, 0, [i]) for i, n in reversed(list(enumerate(roots)))]
+    while todo:
+        n, parent, depth, where = todo.pop()
+        me = len(out)
         s, e = n.range["start"], n.range["end"]
-        row = [file, me, parent, depth, me, me, where, n.kind, n.path.strip("/").split("/"), s["line"], s["character"], e["line"], e["character"], *n.sel]
-        rows = [row]
-        for i, c in enumerate(n.children):
-            rows += walk(c, me, depth + 1, [*where, i])
-        row[5] = count - 1
-        return rows
+        out.append([file, me, parent, depth, me, me, where, n.kind, n.path.strip("/").split("/"), s["line"], s["character"], e["line"], e["character"], *n.sel])
+        todo += [(c, me, depth + 1, [*where, i]) for i, c in reversed(list(enumerate(n.children)))]
+    for row in reversed(out):
+        if row[2] is not None:
+            out[row[2]][5] = max(out[row[2]][5], row[5])
+    yield from out
+
 
-    for i, n in enumerate(roots):
-        yield from walk(n, None, 0, [i])
+def _flat_file(file: str, payloads: list[str], build: str) -> list[list]:
+    try:
+        roots = [decode(json.loads(p), PATH_BUILDERS[build]) for p in payloads]
+    except (KeyError, TypeError, ValueError, RecursionError) as e:
+        raise SafeError(f"symbols of {file} cannot be read", e) from e
+    disambiguate(roots)
+    return list(_rows(file, roots))
 
 
 def flatten(raw: DataFrame, build: str = "plain") -> DataFrame:
-    """``raw`` (file, seq, payload as JSON text) to the symbols table."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        try:
-            roots = [decode(json.loads(p), PATH_BUILDERS[build]) for p in pdf["payload"]]
-        except (KeyError, TypeError, ValueError) as e:
-            raise SafeError(f"symbols of {pdf['file'].iloc[0]} cannot be read", e) from e
-        disambiguate(roots)
-        names = [c.split(" ")[0] for c in _FLAT.split(", ")]
-        out = pd.DataFrame(list(_rows(pdf["file"].iloc[0], roots)), columns=names)
-        return out.astype({"parent_id": "Int64"})
-
-    return with_derived(raw.groupBy("file").applyInPandas(run, _FLAT))
+    """``raw`` (file, seq, payload as JSON text) to the symbols table. Rows come
+    sorted by file, so a task holds one file's at a time."""
+    names = [c.split(" ")[0] for c in _FLAT.split(", ")]
+
+    def frame(rows: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, rows = None, [], []
+        for pdf in batches:
+            for file, payload in zip(pdf["file"], pdf["payload"]):
+                if file != now:
+                    rows += _flat_file(now, held, build) if held else []
+                    now, held = file, []
+                    if len(rows) > 20_000:
+                        yield frame(rows)
+                        rows = []
+                held.append(payload)
+        rows += _flat_file(now, held, build) if held else []
+        yield frame(rows)
+
+    dealt = raw.select("file", "seq", "payload").repartition("file").sortWithinPartitions("file", "seq")
+    return with_derived(dealt.select("file", "payload").mapInPandas(run, _FLAT))
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ class Adapter:
     aliases: bool = False
     incomplete: bool = False
     watched_names: tuple[str, ...] = ()
+    match_case: bool = False
+    list_case: bool = False
     rewrite: Callable[[str], str] = str.strip
     fallback: Callable[[str], str | None] = lambda path: None
 
@@ -34,7 +36,17 @@ class Adapter:
         return (self.ignore_hidden and base.startswith(".")) or base in self.ignored
 
     def watches(self, path: Column) -> Column:
-        return extension(path).isin([e.lower() for e in self.extensions]) | F.substring_index(path, "/", -1).isin(list(self.watched_names))
+        ext = F.regexp_extract(path, r"(\.[^./]*)$", 1) if self.match_case else extension(path)
+        own = self.extensions if self.match_case else [e.lower() for e in self.extensions]
+        return ext.isin(list(own)) | F.substring_index(path, "/", -1).isin(list(self.watched_names))
+
+    def lists(self, file: Column) -> Column:
+        """Files of the adapter's extensions with no ignored folder above."""
+        ext = F.regexp_extract(file, r"(\.[^./]*)$", 1)
+        own = ext.isin(list(self.extensions)) if self.list_case else F.lower(ext).isin([e.lower() for e in self.extensions])
+        folders = F.slice(F.split(file, "/"), 1, F.greatest(F.size(F.split(file, "/")) - 1, F.lit(0)))
+        ignored = F.exists(folders, lambda d: d.isin(list(self.ignored)) | (F.lit(self.ignore_hidden) & d.startswith(".")))
+        return own & ~ignored
 
     def language(self, ext: Column) -> Column:
         """Language of a file by its extension; the last one named is the default."""
@@ -48,9 +60,9 @@ class Adapter:
 ADAPTERS = {
     a.name: a
     for a in [
-        Adapter("go", (".go",), build_path="go", rewrite=go_query, watched_names=("go.mod", "go.sum", "go.work", "go.work.sum")),
+        Adapter("go", (".go",), build_path="go", rewrite=go_query, match_case=True, watched_names=("go.mod", "go.sum", "go.work", "go.work.sum")),
         Adapter(
-            "typescript", (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"), ("node_modules", "dist", "build", "coverage"), aliases=True,
+            "typescript", (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"), ("node_modules", "dist", "build", "coverage"), aliases=True, list_case=True,
             languages=(("typescriptreact", (".tsx",)), ("javascript", (".js", ".mjs", ".cjs")), ("javascriptreact", (".jsx",)), ("typescript", (".ts", ".mts", ".cts"))),
         ),
         Adapter("markdown", (".md", ".markdown"), ignore_hidden=False),

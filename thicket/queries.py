@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket import catalogs as cat
@@ -72,7 +72,7 @@ def _found_sql(where: str) -> str:
 
 
 def _found(spark: SparkSession, sf: str, **request) -> DataFrame:
-    rows = search.ranked_in_file(search.find(cat.orders_catalog(spark, sf), FindRequest(**request)))
+    rows = search.ranked_in_file(search.find(cat.stored_orders(spark, sf), FindRequest(**request)))
     return rows.select("file", "kind", "name_path", "first_line", "last_line", "rank")
 
 
@@ -100,7 +100,7 @@ _define_finds()
 
 @query("find_scope_file", _sym(f"SELECT file, kind, name_path, first_line, last_line, {_RANK} FROM sym WHERE name = 'RF' AND file = (SELECT min(file) FROM c)"))
 def find_scope_file(spark, sf):
-    first = cat.orders_catalog(spark, sf).agg(F.min("file")).first()[0]
+    first = cat.stored_orders(spark, sf).agg(F.min("file")).first()[0]
     return _found(spark, sf, path="RF", scope=Scope(first, False))
 
 
@@ -126,7 +126,7 @@ def find_discriminated_substring(spark, sf):
 
 def _overview(depth: int):
     sql = _sym(f"SELECT file, kind, name_path, first_line, last_line, CAST(row_number() OVER (PARTITION BY file ORDER BY pre) AS INT) AS rank FROM sym WHERE depth <= {depth}")
-    query(f"overview_depth{depth}", sql)(lambda spark, sf: search.overview(cat.orders_catalog(spark, sf), depth))
+    query(f"overview_depth{depth}", sql)(lambda spark, sf: search.overview(cat.stored_orders(spark, sf), depth))
 
 
 for _d in (0, 1, 2):
@@ -135,7 +135,7 @@ for _d in (0, 1, 2):
 
 @query("overview_sorted", _sym(f"SELECT file, kind, name_path, first_line, last_line, {_RANK} FROM sym WHERE depth <= 1"))
 def overview_sorted(spark, sf):
-    return search.overview_sorted(cat.orders_catalog(spark, sf), 1)
+    return search.overview_sorted(cat.stored_orders(spark, sf), 1)
 
 
 @query("overview_grouped_by_kind", _sym("""SELECT file, kind, CAST(dense_rank() OVER (PARTITION BY file ORDER BY f) AS INT) AS group_rank,
@@ -143,17 +143,17 @@ def overview_sorted(spark, sf):
     CASE WHEN first_line = last_line THEN first_line::VARCHAR ELSE first_line || '-' || last_line END AS "range"
     FROM (SELECT *, min(pre) OVER (PARTITION BY file, kind) AS f FROM sym)"""))
 def overview_grouped(spark, sf):
-    return shape.kind_groups(search.overview(cat.orders_catalog(spark, sf), 2), ["file"])
+    return shape.kind_groups(search.overview(cat.stored_orders(spark, sf), 2), ["file"])
 
 
 @query("count_overview_entries", _sym("SELECT kind, count(*) AS n FROM sym GROUP BY kind"))
 def count_entries(spark, sf):
-    return search.overview(cat.orders_catalog(spark, sf), 2).groupBy("kind").agg(F.count("*").alias("n"))
+    return search.overview(cat.stored_orders(spark, sf), 2).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("trim_groups", _sym("""SELECT file, kind, CAST(row_number() OVER (PARTITION BY file, kind ORDER BY pre) AS INT) AS pos, name_path AS path FROM sym WHERE pre < 3"""))
 def trim_groups(spark, sf):
-    rows = shape.without_empty_groups(search.overview(cat.orders_catalog(spark, sf), 2), 3)
+    rows = shape.without_empty_groups(search.overview(cat.stored_orders(spark, sf), 2), 3)
     return shape.kind_groups(rows, ["file"]).select("file", "kind", "pos", "path")
 
 
@@ -165,7 +165,7 @@ def duplicate_paths(spark, sf):
 @query("resolve_unique_candidates", _sym("""SELECT file, count(*) AS n, CASE WHEN count(*) > 1 THEN
     array_to_string(list_sort(list(name_path || ' (' || file || ':' || first_line || ')')), ', ') END AS candidates FROM sym WHERE depth = 1 AND name = '1-URGENT' GROUP BY file"""))
 def resolve_candidates(spark, sf):
-    return search.resolve_all(cat.orders_catalog(spark, sf), "1-URGENT")
+    return search.resolve_all(cat.stored_orders(spark, sf), "1-URGENT")
 
 
 _BODY = """
@@ -183,18 +183,18 @@ def find_body(spark, sf):
 
 @query("find_include_info", _sym("SELECT file, name_path, CASE WHEN o % 2 = 0 THEN 'order ' || o END AS info FROM sym WHERE depth = 1 AND name = '4-NOT SPECIFIED'"))
 def find_info(spark, sf):
-    symbols = cat.orders_catalog(spark, sf)
+    symbols = cat.stored_orders(spark, sf)
     told = symbols.where((F.col("depth") == 1) & (F.col("o") % 2 == 0))
     hover = told.select("file", F.col("sel_line").alias("line"), F.col("sel_char").alias("character"), F.concat(F.lit("  order "), "o", F.lit(" ")).alias("text"))
     return search.find(symbols, FindRequest("4-NOT SPECIFIED", include_info=True), hover=hover).select("file", "name_path", "info")
 
 
 def _located(spark, sf):
-    return references.innermost(cat.part_references(spark, sf), cat.orders_catalog(spark, sf))
+    return references.innermost(cat.part_references(spark, sf), cat.stored_orders(spark, sf))
 
 
 def _with_fallback(spark, sf):
-    lines = cat.orders_catalog(spark, sf).groupBy("file").agg(F.count("*").cast("int").alias("n_lines"))
+    lines = cat.stored_orders(spark, sf).groupBy("file").agg(F.count("*").cast("int").alias("n_lines"))
     return references.with_file_fallback(_located(spark, sf), lines)
 
 
@@ -250,18 +250,18 @@ def _points(spark, sf):
 
 @query("smallest_container_line", _ref_sql("SELECT ref_id, kind, name_path FROM loc WHERE line <> 100000"))
 def smallest_line(spark, sf):
-    return references.smallest_by_lines(_points(spark, sf), cat.orders_catalog(spark, sf), (5, 6)).select("ref_id", "kind", "name_path")
+    return references.smallest_by_lines(_points(spark, sf), cat.stored_orders(spark, sf), (5, 6)).select("ref_id", "kind", "name_path")
 
 
 @query("smallest_container_by_span", _ref_sql("SELECT ref_id, s.kind, s.name_path FROM rf JOIN sym s ON s.file = rf.file AND s.pre = rf.line WHERE rf.line <> 100000"))
 def smallest_span(spark, sf):
-    return references.smallest_in_overview(_points(spark, sf), cat.orders_catalog(spark, sf)).select("ref_id", "kind", "name_path")
+    return references.smallest_in_overview(_points(spark, sf), cat.stored_orders(spark, sf)).select("ref_id", "kind", "name_path")
 
 
 @query("merge_found_fill_gaps", _sym("""SELECT name_path, file, first_line, last_line, CASE WHEN name = '1-URGENT' THEN 6 ELSE 12 END AS kind,
     CASE WHEN name = '1-URGENT' AND o % 2 = 0 THEN 'a' || o ELSE 'b' || o END AS body, 'i' || o AS info FROM sym WHERE depth = 1"""))
 def merge_found(spark, sf):
-    orders = cat.orders_catalog(spark, sf).where("depth = 1")
+    orders = cat.stored_orders(spark, sf).where("depth = 1")
     key = ["name_path", "file", "first_line", "last_line"]
     none = F.lit(None).cast("string")
     own = orders.where("leaf_base = '1-URGENT'").select(*key, "kind", F.when(F.col("o") % 2 == 0, F.concat(F.lit("a"), "o")).otherwise("").alias("body"), none.alias("info"))
@@ -271,14 +271,14 @@ def merge_found(spark, sf):
 
 @query("augment_anti_union", _sym("SELECT name_path, file, first_line, last_line, CASE WHEN name = '1-URGENT' THEN 6 ELSE 14 END AS kind FROM sym WHERE depth = 1 AND name IN ('1-URGENT', '2-HIGH')"))
 def augment(spark, sf):
-    orders = cat.orders_catalog(spark, sf).where("depth = 1").select("name_path", "file", "first_line", "last_line", "kind", "leaf_base")
+    orders = cat.stored_orders(spark, sf).where("depth = 1").select("name_path", "file", "first_line", "last_line", "kind", "leaf_base")
     more = orders.where("leaf_base IN ('1-URGENT', '2-HIGH')").drop("leaf_base").withColumn("kind", F.lit(14))
     return combine.append_constants(orders.where("leaf_base = '1-URGENT'").drop("leaf_base"), more)
 
 
 @query("augment_by_path_only", _sym("SELECT name_path, file, kind FROM sym WHERE depth = 0 OR (depth = 1 AND pre > 1)"))
 def augment_by_path(spark, sf):
-    s = cat.orders_catalog(spark, sf)
+    s = cat.stored_orders(spark, sf)
     base = s.where("depth = 0").select("name_path", "file", "kind")
     more = s.where("depth <= 1 AND preorder <> 1").select("name_path", "file", "kind")
     return combine.append_missing(base, more, ["file", "name_path"])
@@ -290,7 +290,7 @@ _ITEM = """'{"kind":' || kind || ',"path":"' || name_path || '","file":"' || fil
 @query("byte_budget_find", _sym(f"""SELECT file, name_path, CAST(rank AS INT) AS rank, CAST(size AS BIGINT) AS size FROM (SELECT *, 14 + sum(strlen({_ITEM}) + CASE WHEN rank > 1 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS size
     FROM (SELECT *, row_number() OVER (ORDER BY file, first_line, last_line, name_path, kind, pre) AS rank FROM sym WHERE depth = 1 AND name = '1-URGENT')) WHERE size <= 32768"""))
 def byte_budget_find(spark, sf):
-    rows = search.ranked(search.find(cat.orders_catalog(spark, sf), FindRequest("1-URGENT")))
+    rows = search.ranked(search.find(cat.stored_orders(spark, sf), FindRequest("1-URGENT")), 32_768)
     return shape.within_budget(rows, shape.found_item(), 32_768, shape.FOUND_ENVELOPE).select("file", "name_path", "rank", "size")
 
 
@@ -302,14 +302,14 @@ _RITEM = """'{"kind":' || kind || ',"path":"' || name_path || '","range":"' || f
 def byte_budget_refs(spark, sf):
     rows = references.grouped_counts(_with_fallback(spark, sf))
     rows = rows.withColumns({"content_start": F.col("first_line"), "content_end": F.col("first_line") + 1, "content": F.concat(F.lit("n < "), "n_refs")})
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy("file", "first_line", "last_line", "name_path", "kind")))
+    rows = shape.top_ranked(rows, ["file", "first_line", "last_line", "name_path", "kind"], 32_768)
     fits = shape.within_budget(rows, shape.reference_item(), 32_768, shape.FILES_ENVELOPE, "file", shape.file_frame(F.col("file")))
     return fits.select("file", "name_path", "rank", "size")
 
 
 @query("returned_percent", _sym("""SELECT file, CAST(CASE WHEN k = 0 THEN 0 ELSE least(99, greatest(1, (100 * k) // n)) END AS INT) AS percent FROM (SELECT file, count(*) FILTER (WHERE name = 'NO') AS k, count(*) AS n FROM sym GROUP BY file)"""))
 def percent(spark, sf):
-    per = cat.orders_catalog(spark, sf).groupBy("file").agg(F.count(F.when(F.col("leaf_base") == "NO", 1)).alias("k"), F.count("*").alias("n"))
+    per = cat.stored_orders(spark, sf).groupBy("file").agg(F.count(F.when(F.col("leaf_base") == "NO", 1)).alias("k"), F.count("*").alias("n"))
     return per.select("file", shape.returned_percent(F.col("k"), F.col("n")).alias("percent"))
 
 
@@ -351,7 +351,7 @@ def default_export(spark, sf):
     SELECT 'ts/' || k || '.ts' AS file, 'A' || k AS name, CASE WHEN k % 2 = 0 THEN f WHEN k % 3 = 1 THEN 'm/' || k || '.js' END AS source_file,
     CASE WHEN k % 2 = 0 OR k % 3 = 1 THEN c_name END AS source_path, CASE WHEN k % 2 = 0 THEN 5 WHEN k % 3 = 1 THEN 12 END AS source_kind FROM a""")
 def alias_resolution(spark, sf):
-    symbols = cat.orders_catalog(spark, sf).where("depth = 0").select("file", "name_path", "kind", "depth", "first_line", "last_line", "preorder")
+    symbols = cat.stored_orders(spark, sf).where("depth = 0").select("file", "name_path", "kind", "depth", "first_line", "last_line", "preorder")
     k = F.element_at(F.split("name_path", "#"), -1).cast("long")
     c = symbols.select(k.alias("k"), "file", "name_path")
     aliases = c.select(

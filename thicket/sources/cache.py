@@ -7,12 +7,16 @@ same; what has no such entry is left to be made anew.
 
 from __future__ import annotations
 
+import posixpath
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.model import SYMBOL_SCHEMA
+
 SCHEMA_VERSION = 1
 ARTIFACT = "symbol_tree"
 KEYS = ["schema_version", "artifact_kind", "adapter_id", "profile_id", "adapter_fingerprint", "workspace", "file"]
@@ -73,11 +77,68 @@ def stale(cache: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(cache.withColumn("manifest", F.array_sort("manifest")), [*KEYS, "manifest"], "left_anti")
 
 
+_ENTRY = (
+    "schema_version int, artifact_kind string, profile_id string, adapter_fingerprint string, workspace string, file string, "
+    "manifest array<struct<path:string,hash:string>>, payload string, stored_at long, adapter_id string"
+)
+
+
 def store(trees: DataFrame, path: str) -> None:
-    """Keys, manifest and payload; Spark's committer makes it all or nothing."""
-    trees.write.mode("overwrite").partitionBy("adapter_id").parquet(path)
+    """Adds entries (keys, manifest, payload): a newer one of the same keys goes
+    before an older, and whatever else is there stays. Spark's committer makes
+    it all or nothing."""
+    names = [c.split(" ")[0] for c in _ENTRY.split(", ")]
+    trees.withColumn("stored_at", F.lit(time.time_ns())).select(*names).write.mode("append").partitionBy("adapter_id").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entry of all keys; none if nothing was stored yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], _ENTRY).drop("stored_at")
+    newest = spark.read.schema(_ENTRY).parquet(path).groupBy(*KEYS).agg(F.max_by(F.struct("manifest", "payload"), "stored_at").alias("e"))
+    return newest.select(*KEYS, "e.manifest", "e.payload")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """The newest entries alone, as a cache of their own."""
+    store(load(spark, path), to)
+
+
+_TREE = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in SYMBOL_SCHEMA.replace('array<struct<sl:int,sc:int,el:int,ec:int>>', 'ANC').split(', '))}>>".replace("ANC", "array<struct<sl:int,sc:int,el:int,ec:int>>")
+
+
+def encode_trees(symbols: DataFrame) -> DataFrame:
+    """``file, payload``: each file's symbols, in order, as JSON. A file's are
+    gathered, which are bounded as files are."""
+    names = [c.split(" ")[0] for c in SYMBOL_SCHEMA.split(", ")]
+    row = F.struct("preorder", F.struct(*names).alias("s"))
+    return symbols.groupBy("file").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"])).alias("payload"))
+
+
+def decode_trees(stored: DataFrame) -> DataFrame:
+    """The symbols table out of ``payload``."""
+    return stored.select(F.explode(F.from_json("payload", _TREE)).alias("s")).select("s.*")
 
 
 def entry_path(root: Column, workspace: Column, adapter: Column, profile: Column, file: Column) -> Column:
     """Where an entry would be as a file of its own."""
     return F.concat_ws("/", root, F.sha2(workspace, 256), F.lit("shared"), F.lit("v1"), adapter, profile, F.lit(ARTIFACT), F.concat(F.sha2(file, 256), F.lit(".json")))
+
+
+def cache_root(path: str) -> str:
+    """Must be named, and by an absolute path."""
+    path = path.strip()
+    if not path:
+        raise ValueError("cache root is required")
+    if not posixpath.isabs(path):
+        raise ValueError(f'cache root "{path}" must be absolute')
+    return posixpath.normpath(path)
+
+
+def adapter_dir(root: str, workspace: Column, adapter: str) -> Column:
+    """Folder of files that an adapter keeps for a workspace."""
+    if not adapter.strip():
+        raise ValueError("adapter name is required")
+    return F.concat_ws("/", F.lit(cache_root(root)), F.sha2(workspace, 256), F.lit("adapters"), F.lit(adapter))

@@ -167,3 +167,28 @@ def fragment_applies(fragment: dict, file: str) -> bool:
     when = fragment.get("If", {})
     match, exclude = when.get("PathMatch", []), when.get("PathExclude", [])
     return (not match or any(re.fullmatch(p, file) for p in match)) and not any(re.fullmatch(p, file) for p in exclude)
+
+
+def fragment_predicate(fragment: dict, file: Column) -> Column:
+    """``fragment_applies`` over a column. Patterns are checked first."""
+    when = fragment.get("If", {})
+    any_of = lambda patterns: F.coalesce(*[F.when(file.rlike(f"\\A(?:{re.compile(p).pattern})\\z"), True) for p in patterns], F.lit(False))
+    match, exclude = when.get("PathMatch", []), when.get("PathExclude", [])
+    return (any_of(match) if match else F.lit(True)) & ~(any_of(exclude) if exclude else F.lit(False))
+
+
+def trimmed_entries(values: Column) -> Column:
+    """Trimmed, without the empty ones."""
+    return F.filter(F.transform(values, lambda x: F.trim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+
+
+def key_values(entries: Column) -> Column:
+    """``KEY=VALUE`` entries as a map; of equal keys the last one counts. An
+    entry without a sign or with an empty key is an error."""
+    bad = lambda e: ~F.contains(e, F.lit("=")) | (F.trim(F.substring_index(e, "=", 1)) == "")
+    key = lambda e: F.trim(F.substring_index(e, "=", 1))
+    pair = lambda e, i: F.struct(key(e).alias("k"), F.substring(e, F.instr(e, "=") + 1, F.length(e)).alias("v"), i.alias("i"))
+    pairs = F.transform(entries, pair)
+    last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+    fine = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    return F.when(F.exists(entries, bad), F.raise_error(F.lit("entries must use KEY=VALUE format with a non-empty key")).cast("map<string,string>")).otherwise(fine)
