@@ -1,6 +1,7 @@
 import pytest
 
 from tests.compare import assert_same
+from thicket import engine_queries  # noqa: F401  registers its queries
 from thicket import queries as q
 
 

@@ -99,7 +99,7 @@ def test_cache(spark, tmp_path):
     policy = cache.clangd_policy([".clangd"], None, False, fingerprint="v1")
     old = cache.entries(files(("a.c", "1"), ("b.c", "2"), (".clangd", "9")), policy, "w").where("file <> '.clangd'").withColumn("payload", F.lit("tree"))
     cache.store(old, str(tmp_path / "c"))
-    held = spark.read.parquet(str(tmp_path / "c")).select(*cache.KEYS, "manifest", "payload")
+    held = cache.load(spark, str(tmp_path / "c"))
     now = cache.entries(files(("a.c", "1"), ("b.c", "3"), (".clangd", "9")), policy, "w").where("file <> '.clangd'")
     assert [r.file for r in cache.stale(held, now).collect()] == ["b.c"]
     assert [r.file for r in cache.valid(held, now).collect()] == ["a.c"]
@@ -185,3 +185,20 @@ def test_nothing_outside_imports_llm():
                 if n.endswith(".py"):
                     assert "thicket.llm" not in open(os.path.join(at, n)).read(), n
     assert pd is not None
+
+
+def test_stored_entries_stay_beside_new_ones(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert cache.load(spark, path).count() == 0
+
+    def put(adapter, file, payload):
+        files = spark.createDataFrame([(file, payload)], "file string, content_hash string")
+        cache.store(cache.entries(files, cache.CachePolicy(adapter), "w").withColumn("payload", F.lit(payload)), path)
+
+    for adapter, file, payload in (("go", "a", "1"), ("rust", "b", "2"), ("go", "c", "3"), ("go", "a", "4")):
+        put(adapter, file, payload)
+    want = {("go", "a", "4"), ("rust", "b", "2"), ("go", "c", "3")}
+    assert {(r.adapter_id, r.file, r.payload) for r in cache.load(spark, path).collect()} == want
+    cache.compact(spark, path, path + "2")
+    assert spark.read.parquet(path + "2").count() == 3
+    assert {(r.adapter_id, r.file, r.payload) for r in cache.load(spark, path + "2").collect()} == want

@@ -2,7 +2,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from thicket.functions import paths
 from thicket.model import FindRequest, SafeError
 from thicket.operators import references, search, tree
 
@@ -113,3 +115,34 @@ def test_representative_of_a_container(spark):
     located = spark.createDataFrame([(*r, 12, "p", 0, 9) for r in rows], "ref_id long, file string, line int, char int, kind int, name_path string, first_line int, last_line int")
     for out in (references.grouped(located).first(), references.grouped_counts(located).first()):
         assert (out.ref_id, out.line, out.char, out.n_refs) == (1, 3, 9, 4)
+
+
+def test_deep_trees_are_flattened(spark):
+    span = '{"start":{"line":0,"character":0},"end":{"line":1,"character":0}}'
+    payload = ""
+    for i in range(300):
+        payload = f'{{"kind":5,"name":"n{i}","range":{span},"selectionRange":{span},"children":[{payload}]}}'
+    root = tree.decode(json.loads(payload), paths.plain_path)
+    for _ in range(5000):  # beyond what JSON text can nest
+        root = tree.Node(5, "x", root.range, root.sel, [root])
+    tree.disambiguate([root])
+    rows = list(tree._rows("f", [root]))
+    assert len(rows) == 5300 and rows[0][5] == 5299 and rows[-1][3] == 5299
+    raw = spark.createDataFrame([("f", 0, payload), ("g", 1, payload), ("g", 0, payload)], "file string, seq int, payload string")
+    assert {r.file: r["count"] for r in tree.flatten(raw).groupBy("file").count().collect()} == {"f": 300, "g": 600}
+
+
+def test_representative_is_first_by_lines_then_column(spark):
+    rows = [(1, "f", 3, 2, 5), (2, "f", 3, 9, 4), (3, "f", 3, 8, 4), (4, "f", 7, 0, 7)]
+    refs = spark.createDataFrame(rows, "ref_id long, file string, line int, char int, end_line int")
+    located = refs.select("*", F.lit("a").alias("name_path"), F.lit(0).alias("first_line"), F.lit(9).alias("last_line"), F.lit(5).alias("kind"))
+    one = references.grouped(located).first()
+    assert (one.ref_id, one.n_refs) == (3, 4)
+
+
+def test_a_referencing_file_without_content_fails(spark):
+    refs = spark.createDataFrame([(1, "f", 0), (2, "gone", 0)], "ref_id long, file string, line int")
+    files = spark.createDataFrame([("f", "text")], "file string, content string")
+    assert references.with_evidence(refs.where("file = 'f'"), files).first().content == "text"
+    with pytest.raises(Exception, match="cannot be read"):
+        references.with_evidence(refs, files).collect()

@@ -106,17 +106,20 @@ def reference_table(lines: DataFrame, text: str = "value") -> DataFrame:
     ``file, line``. The heading goes; a line that is no number is an error."""
     parts = F.transform(F.split(F.trim(text), r"\|", -1), lambda x: F.trim(x))
     rows = lines.where(F.trim(text).startswith("|")).select(parts.alias("p")).where((F.size("p") >= 6) & (F.get("p", F.lit(2)) != "LN"))
-    return rows.select(F.get("p", F.lit(1)).alias("file"), (F.get("p", F.lit(2)).cast("int") - 1).alias("line")).distinct()
+    number = F.when(F.get("p", F.lit(2)) != "LN", F.get("p", F.lit(2)))  # a filter pushed down might else see the heading
+    return rows.select(F.get("p", F.lit(1)).alias("file"), (number.cast("int") - 1).alias("line")).distinct()
 
 
 def compile_commands(text: Column, root: str) -> Column:
-    """Compile commands with relative folders made absolute."""
-    schema = "array<struct<directory:string,file:string,arguments:array<string>,command:string,output:string>>"
-    fixed = F.transform(
-        F.from_json(text, schema),
-        lambda c: c.withField("directory", F.when(c["directory"].startswith("/"), c["directory"]).otherwise(F.concat_ws("/", F.lit(root), F.nullif(c["directory"], F.lit(""))))),
-    )
-    return F.to_json(fixed)
+    """Compile commands with relative folders made absolute, all else as it is."""
+    commands = F.variant_get(F.parse_json(text), "$", "array<map<string,variant>>")
+
+    def fix(c: Column) -> Column:
+        own = F.variant_get(c["directory"], "$", "string")
+        whole = F.when(own.startswith("/"), own).otherwise(F.concat_ws("/", F.lit(root), F.nullif(own, F.lit(""))))
+        return F.map_concat(F.map_filter(c, lambda k, _: k != "directory"), F.create_map(F.lit("directory"), whole.cast("variant")))
+
+    return F.to_json(F.transform(commands, fix))
 
 
 def compilation_database(root: str) -> str | None:

@@ -12,9 +12,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where unset."""
+    """Folder named by ``spark.checkpoint.dir``. Where it is unset, one of our
+    own if all of Spark is this process; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="thicket-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +45,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._thicket_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for ``df``, which nothing reads any more."""
+    drop_path(df.sparkSession, df._thicket_path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes every step of a session, once its results have been used. The
+    driver's exit does the same."""
+    for own, path in [x for x in _made if x[0] is spark]:
+        drop_path(own, path)
+        _made.remove((own, path))
 
 
 @atexit.register
