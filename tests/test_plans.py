@@ -32,11 +32,11 @@ def test_a_budget_is_a_top_k_of_each_task(spark, sf):
 def test_requests_are_stopped_in_time(spark, sf):
     assert [duration(x) for x in (360, 5, 3661)] == ["6m0s", "5s", "1h1m1s"]
     symbols = cat.stored_orders(spark, sf)
-    slow = cat.workspace_catalog(spark, sf).withColumn("kind", F.udf(lambda k: time.sleep(0.2) or k, "int")("kind"))
+    slow = cat.workspace_catalog(spark, sf).withColumn("kind", F.udf(lambda k: time.sleep(0.3) or k, "int")("kind"))
     start = time.monotonic()
     with pytest.raises(SafeError, match="timed out"):
         Engine(slow, timeout=1).find_json(FindRequest("1-URGENT"))
-    assert time.monotonic() - start < 60
+    assert time.monotonic() - start < 30
 
 
 def test_other_errors_are_internal(spark, sf):

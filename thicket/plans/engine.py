@@ -39,25 +39,33 @@ def duration(seconds: int) -> str:
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float, tag: str = "thicket-request"):
-    """Interrupts the jobs started inside once the time is up."""
-    fired = threading.Event()
-
-    def stop() -> None:
-        fired.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    """Cancels the jobs started inside once the time is up, and those that come
+    after as well; what has not ended by then has timed out."""
+    over, late, context = threading.Event(), threading.Event(), spark.sparkContext
+
+    def watch() -> None:
+        wait = seconds
+        while not over.wait(wait):
+            late.set()
+            context.cancelJobsWithTag(tag)  # a session's own tags are known to their thread alone
+            wait = 0.2
+
+    timed_out = TIMED_OUT.format(duration(int(seconds)))
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
     try:
         yield
     except Exception as e:
-        if fired.is_set():
-            raise SafeError(TIMED_OUT.format(duration(int(seconds))), e) from e
+        if late.is_set():
+            raise SafeError(timed_out, e) from e
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        over.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    if late.is_set():
+        raise SafeError(timed_out)
 
 
 def public(run: Callable):
