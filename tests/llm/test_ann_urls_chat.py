@@ -268,3 +268,17 @@ def test_chat_query(spark, sf):
     want[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op3_chat_windows(spark, sf).collect()}
     assert got == {c: plain_digest(t) for c, t in want.items()}
+
+
+def test_trees_on_held_out_urls(spark):
+    """Of the URLs on which a rule decides, a fifth is not learned from."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = urls.with_rule(urls.split_url(pages, "url"), urls.parse_rules(queries.URL_RULES)).where("rule IS NOT NULL")
+    rows = ruled.select("page_id", "url", (F.col("rule_verdict") == "block").alias("y"))
+    held = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0
+    model = urls.UrlFilter().fit(rows.where(~held), "url", "y")
+    got = model.score(rows.where(held), "url").select("y", "blocked_score").collect()
+    share = sum(r.y for r in got) / len(got)
+    right = sum((r.blocked_score > 0.5) == r.y for r in got) / len(got)
+    print("held out:", len(got), "blocked:", round(share, 3), "right:", round(right, 3))
+    assert model.trees and right >= max(share, 1 - share)

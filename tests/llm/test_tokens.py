@@ -7,6 +7,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import regex
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -81,6 +82,24 @@ def test_added_tokens_equal_the_library(spark):
     assert np.frombuffer(tokenfile.read(spark, path).orderBy("start").first().ids, "<u4").tolist() == [64, 50256, 65, 2]
 
 
+def test_ranges_of_slices_are_decoded(spark, odd_docs):
+    encoded = bpe.encode(odd_docs, RANKS)
+    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    for first, count in ((0, 3), (2, 5), (1, 10**6), (10**6, 2), (-4, 2)):
+        for r in bpe.decode_slices(encoded, RANKS, F.lit(first), F.lit(count)).collect():
+            want = regex.findall(P.PATTERN, texts[r.doc_id])[max(first, 0) :][:count]
+            assert bytes(r.bytes).decode() == "".join(want)
+
+
+def test_documents_are_read_by_id(spark, odd_docs):
+    path = scratch_path(spark, "t")
+    tokenfile.write(odd_docs.repartition(3), path, JSON, end_id=2, segment_ids=300)
+    want = expected_ids({r.doc_id: r.text for r in odd_docs.collect()})
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenfile.read_ids(spark, path, [3, 11, 50, 999, 3]).collect()}
+    assert got == {i: want[i] + [2] for i in (3, 11, 50)}
+    assert tokenfile.read_ids(spark, path, []).count() == 0
+
+
 def test_packing_places_every_id_once(spark, odd_docs, no_docs):
     pieces = packing.pack(odd_docs.where("doc_id < 50"), JSON, end_id=1, window=64, shard_docs=5).collect()
     want = expected_ids({r.doc_id: r.text for r in odd_docs.where("doc_id < 50").collect()})

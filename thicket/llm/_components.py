@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._words import tidy
-from thicket.storage import materialize
+from thicket.storage import forget, materialize
 
 
 class UnionFind:
@@ -96,6 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
         same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if same == new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
             break
+        forget(edges)
         edges = new
     nodes = new.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -3,8 +3,8 @@
 ``encode`` finds pre-token boundaries with the array scan of ``_pretok``, then
 looks slices up in a bounded cache that pair merging fills. Ids and the byte
 offsets of slices are kept as binary columns (little-endian unsigned 32 bit),
-so a row costs four bytes a token. ``decode`` gives the bytes back, of whole
-documents or, by the offsets, of ranges of slices.
+so a row costs four bytes a token. ``decode`` gives the bytes of whole documents
+back, and ``decode_slices``, by the offsets, those of ranges of slices.
 
 Both are narrow: no shuffle, one pass, memory bounded by a chunk of text or one
 document. Null texts are empty: they have no ids and decode to no bytes. Rows
@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._vocab import rank_encoder, vocabulary_bytes
@@ -78,3 +78,27 @@ def decode(encoded: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "ids", "bytes"])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep], "ids").mapInArrow(tidy(run), _out_schema(encoded, keep, "ids binary, bytes binary"))
+
+
+def decode_slices(encoded: DataFrame, ranks_path: str, first: Column, count: Column, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``bytes`` of ``count`` slices from ``first`` (from 0)
+    on, as many as there are. No token reaches over a slice's end, so offsets of
+    slices are offsets of tokens, and only the tokens in between are decoded."""
+    keep = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, at = vocabulary_bytes(ranks_path)
+        size = np.diff(at)
+        for batch in batches:
+            out = []
+            for raw, offsets, a, n in zip(*(batch.column(len(keep) + i).to_pylist() for i in range(4))):
+                ids, starts = np.frombuffer(raw or b"", "<u4"), np.frombuffer(offsets or b"", "<u4")
+                a = min(max(a or 0, 0), len(starts))
+                b = min(a + max(n or 0, 0), len(starts))
+                begin = np.cumsum(size[ids]) - size[ids]
+                some = slice(*(int(np.searchsorted(begin, starts[k])) if k < len(starts) else len(ids) for k in (a, b)))
+                out.append(b"".join(flat[at[i] : at[i + 1]].tobytes() for i in ids[some].tolist()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], [*keep, "bytes"])
+
+    rows = encoded.select(*[F.col(f"`{c}`") for c in keep], "ids", "starts", first.cast("int").alias("_first"), count.cast("int").alias("_count"))
+    return rows.mapInArrow(tidy(run), _out_schema(encoded, keep, "bytes binary"))

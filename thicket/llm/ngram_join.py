@@ -50,6 +50,7 @@ DEAL_SHINGLES = 1 << 20  # that a task deals out at a time
 PART_SHINGLES = 1 << 21  # that a task of the occurrence filter holds, about
 BLOCK = 256  # sets of a block of a large cluster
 PIVOTS = 16  # sets of a large cluster that meet all others
+FEW_TASKS = 100_000  # rows of 40 bytes that may be broadcast
 _U = np.uint64
 
 
@@ -350,7 +351,10 @@ def _blocks(member: DataFrame, root: str = "root") -> DataFrame:
 
 
 def _run_tasks(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``tasks``: root, i, j, rep, part, seed."""
+    """``tasks``: root, i, j, rep, part, seed. Few of them are sent to the sets
+    instead of sorting all sets to them."""
+    tasks = materialize(tasks, "tasks")
+    tasks = F.broadcast(tasks) if tasks.count() <= FEW_TASKS else tasks.hint("merge")
     work = tasks.join(sets, "rep").select("root", "i", "j", "rep", "part", "seed", "hashes")
     return work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(tidy(_search(percent)), "a long, b long")
 

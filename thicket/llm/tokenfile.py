@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+import warnings
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ MAGIC = b"THKTIDS1"
 HEAD = struct.Struct("<8sII32s")
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("before", "<u8")])
 NO_ID = -(2**63)
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
+SAMPLE_SLICES, SLICE_CHARS = 16, 1024
+_COLUMNS = "part int, seg int, first_id long, last_id long, n_docs long, n_ids long, ids_before long, image binary"
 
 
 def pack_segment(ids: np.ndarray, docs: list[int], rows: np.ndarray, dictionary: bytes, level: int) -> bytes:
@@ -95,31 +98,39 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def train(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text: str, sample_docs: int, sample_chars: int, dict_bytes: int) -> bytes:
-    """A dictionary, or none where the sample is too small for one."""
+def train(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text: str, sample_docs: int, dict_bytes: int) -> bytes:
+    """A dictionary, or none where the sample is too small for one (with a
+    warning). The documents of the smallest hashes are the sample: whole, or, if
+    they are longer than all slices together, slices spread over the whole."""
     keys = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k"))
     least = [r.k for r in keys.orderBy("k").limit(sample_docs).collect()]  # the keys alone decide, so tasks send no text
-    cut = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k"), F.substring(F.coalesce(F.col(f"`{text}`"), F.lit("")), 1, sample_chars).alias("t"))
-    sample = [r.t for r in cut.where(F.col("k") <= least[-1]).orderBy("k", "t").limit(sample_docs).collect()] if least else []
+    whole = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    at = lambda i: (1 + F.floor(i * (F.length("t") - SLICE_CHARS) / (SAMPLE_SLICES - 1))).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_SLICES - 1)), lambda i: F.substring(F.col("t"), at(i), F.lit(SLICE_CHARS)))
+    cut = F.when(F.length("t") <= SAMPLE_SLICES * SLICE_CHARS, F.array("t")).otherwise(slices)
+    own = whole.where(F.col("k") <= least[-1]).select("k", cut.alias("c")).orderBy("k", "c").limit(sample_docs) if least else None
+    sample = [t for r in own.collect() for t in r.c] if own is not None else []  # 4 MB of characters at most
     raw = []
     for chunk in chunks(pa.array(sample, pa.large_string())):
         ids, rows, _ = library_encoder(tokenizer_path).encode(chunk)
         ids, rows = append_end(ids, rows, end_id)
         kind = "<u2" if ids.max() < 1 << 16 else "<u4"
         raw += [ids[a:b].astype(kind).tobytes() for a, b in zip(rows, rows[1:])]
-    try:
-        return zstandard.train_dictionary(dict_bytes, raw).as_bytes() if len(raw) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
+    if len(raw) >= 16:
+        try:
+            return zstandard.train_dictionary(dict_bytes, raw).as_bytes()
+        except zstandard.ZstdError as e:
+            warnings.warn(f"no dictionary could be trained, documents are compressed without one: {e}", stacklevel=2)
+    return b""
 
 
 def write(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text",
-    level: int = 3, sample_docs: int = 256, sample_chars: int = 4096, dict_bytes: int = 1 << 15, segment_ids: int = SEGMENT_IDS,
+    level: int = 3, sample_docs: int = 256, dict_bytes: int = 1 << 15, segment_ids: int = SEGMENT_IDS,
 ) -> None:
     """Encode, append ``end_id``, write in ascending order of ``id_col``."""
     spark = docs.sparkSession
-    dictionary = train(docs, tokenizer_path, end_id, id_col, text, sample_docs, sample_chars, dict_bytes)
+    dictionary = train(docs, tokenizer_path, end_id, id_col, text, sample_docs, dict_bytes)
     shared = spark.sparkContext.broadcast(dictionary)  # dict_bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +144,11 @@ def write(
             nonlocal seg, before, held
             ids, rows = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             image = pack_segment(ids, names, rows, shared.value, level)
-            row = [[part], [seg], [names[0]], [len(names)], [len(ids)], [before], [image]]
+            row = [[part], [seg], [names[0]], [names[-1]], [len(names)], [len(ids)], [before], [image]]
             seg, before, held = seg + 1, before + len(ids), 0
             names.clear(), parts.clear(), sizes.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seg", "first_id", "n_docs", "n_ids", "ids_before", "image"])
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], [c.split(" ")[0] for c in _COLUMNS.split(", ")])
 
         for batch in batches:
             doc = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -154,15 +165,39 @@ def write(
             yield flush()
 
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(tidy(run), "part int, seg int, first_id long, n_docs long, n_ids long, ids_before long, image binary").write.parquet(f"{path}/segments")
+    ordered.mapInArrow(tidy(run), _COLUMNS).write.parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
+def _open(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    return spark.read.schema(_COLUMNS).parquet(f"{path}/segments"), bytes(spark.read.schema("dictionary binary").parquet(f"{path}/dictionary").first()[0])
+
+
+def read_ids(spark: SparkSession, path: str, wanted: Sequence[int], id_col: str = "doc_id") -> DataFrame:
+    """``id_col, ids`` of the documents named, a short list (of repeated ids,
+    each). Id ranges leave other segments unread, down to Parquet's pages, and
+    of a segment only the frames asked for are decompressed."""
+    segments, dictionary = _open(spark, path)
+    some = sorted(set(map(int, wanted)))
+    ranges = [(F.col("first_id") <= i) & (F.col("last_id") >= i) for i in some]
+    shared = spark.sparkContext.broadcast((dictionary, np.array(some, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary, some = shared.value
+        for batch in batches:
+            for image in batch.column(0):
+                seg = Segment(image.as_py(), dictionary)
+                at = np.flatnonzero(np.isin(seg.index["id"][:-1], some))
+                ids = [seg.document(k).astype("<u4").tobytes() for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(seg.index["id"][at]), pa.array(ids, pa.binary())], [id_col, "ids"])
+
+    return segments.where(reduce(lambda a, b: a | b, ranges, F.lit(False))).select("image").mapInArrow(tidy(run), f"`{id_col}` long, ids binary")
+
+
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, start`` (ids of all documents before it), ``ids`` (binary,
     unsigned 32 bit) of every document in the files."""
-    segments = spark.read.schema("part int, seg int, first_id long, n_docs long, n_ids long, ids_before long, image binary").parquet(f"{path}/segments")
-    dictionary = bytes(spark.read.schema("dictionary binary").parquet(f"{path}/dictionary").first()[0])
+    segments, dictionary = _open(spark, path)
     base, total = {}, 0
     for r in sorted(segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):  # a row a written part
         base[r.part] = total

@@ -76,7 +76,8 @@ def _suffix(host: Column) -> Column:
     return F.pmod(F.xxhash64(F.element_at(F.split(host, r"\."), -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
-def lexical_bins(url: Column, host: Column, path: Column) -> dict[str, Column]:
+def lexical_values(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """Numbers of a URL on a grid that is fine enough for every cut."""
     text = F.coalesce(url, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     digits = F.length(F.regexp_replace(text, "[^0-9]", "")) / size
@@ -85,17 +86,15 @@ def lexical_bins(url: Column, host: Column, path: Column) -> dict[str, Column]:
         F.aggregate(F.array_distinct(F.filter(F.split(host, ""), lambda c: c != "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
     )
     params = F.when(F.instr(text, "?") > 0, _count(text, "&") + 1).otherwise(0)
-    return {
-        "length": _bin(F.length(text), (24, 30, 36, 42, 50, 64, 96)),
-        "depth": _bin(_count(path, "/"), (0, 1, 2, 3, 4, 6)),
-        "digits": _bin(digits, (0.02, 0.05, 0.08, 0.12, 0.2, 0.35)),
-        "entropy": _bin(entropy, (2.5, 2.9, 3.1, 3.3, 3.5, 3.7, 4.0)),
-        "params": _bin(params, (0, 1, 2, 4)),
-        "labels": _bin(_count(host, "."), (0, 1, 2, 3, 4)),
-        "signs": _bin(_count(host, "-") + _count(path, "-") + _count(path, "_"), (0, 1, 2, 4)),
-    }
+    out = {
+        "length": F.length(text), "depth": _count(path, "/"), "digits": F.round(digits * 200), "entropy": F.round(entropy * 50), "params": params,
+        "labels": _count(host, "."), "signs": _count(host, "-") + _count(path, "-") + _count(path, "_"),
+    }
+    return {k: F.least(v, F.lit(GRID)).cast("int") for k, v in out.items()}
 
 
+SMOOTH = 10  # URLs of the overall rate that each suffix is given
+GRID = 2047  # the largest value told apart
 BINS = 8
 FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "signs", "suffix")
 
@@ -162,32 +161,59 @@ class UrlFilter:
 
     def __init__(self, trees: int = TREES):
         self.n_trees, self.trees, self.base = trees, [], 0.0
-        self.rates = [0.5] * SUFFIX_BUCKETS
-
-    def _bins(self, df: DataFrame, url: str) -> DataFrame:
-        """Adds the bin columns; the suffix's is its rate of blocked URLs."""
-        out = df.withColumns({f"_{k}": v for k, v in lexical_bins(F.col(url), F.col("host"), F.col("path")).items()})
-        rate = F.element_at(F.array(*[F.lit(round(r, 4)) for r in self.rates]), _suffix(F.col("host")) + 1)
+        self.cuts: dict[str, list[int]] = {}
+        self.share, self.seen = 0.5, [(0, 0)] * SUFFIX_BUCKETS  # blocked and all URLs of each suffix
+
+    def _values(self, df: DataFrame, url: str) -> DataFrame:
+        return df.withColumns({f"_{k}": v for k, v in lexical_values(F.col(url), F.col("host"), F.col("path")).items()})
+
+    def _bins(self, df: DataFrame, url: str, label: str | None = None) -> DataFrame:
+        """Adds the bin columns; the suffix's is its rate of blocked URLs, for a
+        row that is learned from (``label``) that of the others."""
+        out = self._values(df, url)
+        out = out.withColumns({f"_{k}": _bin(F.col(f"_{k}"), cuts) for k, cuts in self.cuts.items()})
+        y, n = (F.element_at(F.array(*[F.lit(s[i]) for s in self.seen]), _suffix(F.col("host")) + 1) for i in (0, 1))
+        if label is not None:
+            y, n = y - F.col(label), n - 1
+        rate = (y + SMOOTH * self.share) / (n + SMOOTH)
         return out.withColumn("_suffix", _bin(rate, (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)))
 
+    def _fit_cuts(self, rows: DataFrame) -> None:
+        """Cuts at the eighths of each number's distribution, from its exact
+        counts over the grid (a row a number and grid value at most)."""
+        names = FEATURES[:-1]
+        pair = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_{k}").alias("v")) for i, k in enumerate(names)])).alias("x")
+        counts = self._values(rows, "_url").select(pair).groupBy("x.f", "x.v").count().collect()
+        for i, k in enumerate(names):
+            own = sorted((r.v, r["count"]) for r in counts if r.f == i)
+            total, so_far, cuts = sum(c for _, c in own), 0, set()
+            for v, c in own[:-1]:
+                before, so_far = so_far, so_far + c
+                if so_far * BINS // total > before * BINS // total:
+                    cuts.add(v)
+            self.cuts[k] = sorted(cuts)[: BINS - 1]
+
     def _raw(self) -> Column:
         cols = [F.col(f"_{f}") for f in FEATURES]
         return sum((t.value(cols) for t in self.trees), F.lit(self.base))
 
     def fit(self, labelled: DataFrame, url: str, blocked: str) -> UrlFilter:
         """``labelled`` has ``url`` and the boolean ``blocked``; others are
-        not read. Suffix statistics are smoothed by the overall rate."""
+        not read. Suffix statistics are smoothed by the overall rate; a row's own
+        label is left out of those it is learned with."""
         rows = split_url(labelled.where(F.col(blocked).isNotNull()).select(F.col(url).alias("_url"), F.col(blocked).cast("int").alias("_y")), "_url")
         stats = rows.groupBy(_suffix(F.col("host")).alias("s")).agg(F.sum("_y").alias("y"), F.count("*").alias("n")).collect()  # SUFFIX_BUCKETS rows
         n, y = sum(r.n for r in stats), sum(r.y for r in stats)
         if not n or y in (0, n):
             self.base = 0.0 if not n else math.log((y + 0.5) / (n - y + 0.5))
             return self
+        self.share = y / n
         for r in stats:
-            self.rates[r.s] = (r.y + 10 * y / n) / (r.n + 10)
+            self.seen[r.s] = (r.y, r.n)
         self.base = math.log(y / (n - y))
+        self._fit_cuts(rows)
         names = [f"_{f}" for f in FEATURES]
-        counts = materialize(self._bins(rows, "_url").groupBy(*names).agg(F.sum("_y").alias("y"), F.count("*").alias("n")), "url-bins")
+        counts = materialize(self._bins(rows, "_url", "_y").groupBy(*names).agg(F.sum("_y").alias("y"), F.count("*").alias("n")), "url-bins")
         pairs = list(combinations_with_replacement(range(len(FEATURES)), 2))
         cell = F.explode(F.array(*[F.lit(i * BINS * BINS) + F.col(names[a]) * BINS + F.col(names[b]) for i, (a, b) in enumerate(pairs)])).alias("cell")
         for _ in range(self.n_trees):
