@@ -153,9 +153,6 @@ def _engine_of_references(spark, sf) -> Engine:
     return Engine(cat.code_catalog(spark, sf, ".cpp"), cat.code_files(spark, sf, ".cpp").select("file", "content"), _raw_references(spark, sf), incomplete=True)
 
 
-_CONTENT = "  function use() {\\n    it.prop;\\n  }"
-
-
 @query("engine_references", """SELECT 6 AS kind, 'A/use' AS name_path, 'src/p' || p_partkey || '.cpp' AS file, 2 AS content_start, 4 AS content_end,
     '  function use() {' || chr(10) || '    it.prop;' || chr(10) || '  }' AS content, 4 AS "char", CAST(2 AS BIGINT) AS n_refs FROM part""")
 def engine_references(spark, sf):
