@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from thicket.llm._components import UnionFind, components
 from thicket.llm._words import Words, chunks, distinct_per_row, mix64, shingles, tidy
 from thicket.llm.bpe import binary_rows
-from thicket.storage import materialize
+from thicket.storage import forget, materialize
 
 WORDS, PERCENT = 5, 80
 DEAL_SHINGLES = 1 << 20  # that a task deals out at a time
@@ -429,6 +429,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     links = cluster_links(clusters, sets, percent)
     joined = components(links)
+    for done in (alive, sets, clusters):
+        forget(done)
 
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h", "h2", F.coalesce("root", "rep").alias("component_id"))
     named = materialize(named, "named")  # so that a class of many copies can be split in the join
