@@ -76,6 +76,25 @@ def test_what_pivots_leave_is_searched_too(spark, monkeypatch):
     assert {i: found.get(i, i) for i in range(len(sets))} == {i: c for i, (_, c) in want.items()}
 
 
+def test_linked_sets_share_a_stricter_key():
+    """A whole part of one equals a whole part of the other, or one that lacks a shingle."""
+    rng = np.random.default_rng(6)
+    linked = 0
+    for _ in range(3000):
+        percent = int(rng.choice([60, 80, 90, 97]))
+        size = int(rng.integers(2, 400))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64) * np.uint64(2))
+        common = int(size * (1 - rng.random() * (100 - percent) / 90))
+        more = int(rng.integers(0, size - common + 1))
+        x, y = np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : size + more]]))
+        if not len(y) or 100 * common < percent * (size + more) or size + more == common:
+            continue
+        linked += 1
+        (kx, lx), (ky, ly) = (ngram_join.near_part_keys(s, percent) for s in (x, y))
+        assert set(kx[~lx]) & set(ky) or set(ky[~ly]) & set(kx)
+    assert linked > 300
+
+
 def test_merge_skip_counts():
     rng = random.Random(4)
     for _ in range(200):

@@ -16,7 +16,10 @@
    are set aside; the short ones are merged, and only sets that occur often
    enough in them are looked up in the long ones by binary search. Those that
    reach the required overlap are links. A cluster beyond ``BLOCK`` sets is
-   searched block against block, in tasks of their own.
+   searched in blocks, each with some sets of the whole cluster. If that leaves
+   several components, its sets are dealt anew by stricter keys, which unlike
+   sets seldom share, and what is outside the largest component of such a
+   cluster is searched block against block, in tasks of their own.
 5. Links join classes into components.
 
 No step emits pairs of copies, gathers a class or a key in one place, or
@@ -195,24 +198,80 @@ def part_keys(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarr
     return (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def near_part_keys(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stricter keys of one sorted set, and which of them lack a shingle. Half as
+    many parts as ``part_keys`` has, and one more: of these, one differs in a
+    single shingle at most, so its whole equals the other's whole, or the
+    other's with one shingle left out."""
+    keys, less = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    ratio = math.log(100 / percent)
+    level = int(math.log(len(own)) / ratio + 1e-9)
+    value = mix64(own ^ _U(0x71D67FFFEDA60000))
+    for group in (level, level + 1):
+        most = math.ceil(math.exp(ratio * (group + 1)) + 1e-6)
+        differ = 2 * most * (100 - percent) // (100 + percent)
+        if not differ:
+            continue
+        m = differ // 2 + 3 + differ // 10
+        part = ((own >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+        there, first = np.unique(part, return_index=True)
+        whole = np.zeros(m, np.uint64)
+        whole[there] = np.add.reduceat(value, first)
+        held = np.bincount(part, minlength=m)
+        made = np.concatenate([whole, whole[part] - value])
+        where = np.concatenate([np.arange(m), part])
+        lacks = np.arange(len(made)) >= m
+        if (held <= 2).sum() < m - differ // 2:
+            # More parts must be near than are small here, so a larger one is:
+            # keys of fewer than two shingles, which many sets have, go.
+            large = np.concatenate([held, held[part] - 1]) >= 2
+            made, where, lacks = made[large], where[large], lacks[large]
+        keys.append(mix64(made + mix64(where.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(group))))
+        less.append(lacks)
+    return np.concatenate(keys), np.concatenate(less)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, rep): a link from a key's first rep to others."""
+    """Of rows sorted by (key, less, rep): a link from a key's first rep to
+    others, if the first is a whole (not ``less``)."""
     key = head = None
+    whole = False
     for batch in batches:
-        k, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        k, less, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(k):
             continue
         new = np.append(True, k[1:] != k[:-1])
         if k[0] == key:
             new[0] = False
-        heads = np.where(new, rep, 0)
         at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        first = np.where(at >= 0, heads[np.maximum(at, 0)], 0 if head is None else head)
-        pair = np.unique(np.stack([first, rep], 1)[(first != rep)], axis=0)
-        key, head = k[-1], first[-1]
+        first = np.where(at >= 0, rep[np.maximum(at, 0)], 0 if head is None else head)
+        sound = np.where(at >= 0, ~less[np.maximum(at, 0)], whole)
+        pair = np.unique(np.stack([first, rep], 1)[(first != rep) & sound], axis=0)
+        key, head, whole = k[-1], first[-1], sound[-1]
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
+def _clusters(keyed: DataFrame) -> DataFrame:
+    """``node, root`` of the rows ``key, less, rep`` that keys bring together."""
+    stars = keyed.repartition("key").sortWithinPartitions("key", "less", "rep").mapInArrow(tidy(_stars), "a long, b long")
+    return materialize(components(stars), "clusters")
+
+
+def _finer(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, root``: clusters of the stricter keys. ``sets``: rep, hashes."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column(0).to_numpy()
+            for lo in range(0, len(rep), 256):
+                made = [near_part_keys(np.frombuffer(x.as_buffer(), "<u8"), percent) for x in batch.column(1)[lo : lo + 256]]
+                k, less = (np.concatenate(x) for x in zip(*made))
+                owner = np.repeat(rep[lo : lo + 256], [len(x) for x, _ in made])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(less), pa.array(owner)], ["key", "less", "rep"])
+
+    return _clusters(sets.select("rep", "hashes").mapInArrow(tidy(keys), "key long, less boolean, rep long"))
+
+
 def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     """Numbers that occur in ``least`` of the sorted lists or more, and in how
     many. A heap holds each list's head; where the top occurs too seldom, so
@@ -374,9 +433,14 @@ def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFra
     first = materialize(_run_tasks(every, sets, percent), "links")
     if large.isEmpty():
         return first
-    # What the cluster's largest component does not hold meets all the rest.
+    # Large clusters of several components are dealt anew by stricter keys.
     parts = components(first).select(F.col("node").alias("rep"), F.col("root").alias("part"))
-    known = materialize(large.join(parts, "rep", "left").select("root", "rep", "blocks", F.coalesce("part", "rep").alias("part")), "parts")
+    known = materialize(large.join(parts, "rep", "left").select("root", "rep", F.coalesce("part", "rep").alias("part")), "parts")
+    mixed = known.groupBy("root").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("root")
+    close = _finer(known.join(mixed, "root").select("rep").join(sets.hint("merge"), "rep"), percent)
+    known = known.drop("root").join(close.withColumnRenamed("node", "rep"), "rep")
+    known = materialize(known.join(_blocks(known), "root"), "parts")
+    # What the cluster's largest component does not hold meets all the rest.
     most = known.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("most"))
     known = known.join(most, "root")
     rest = known.where("part <> most")
@@ -421,11 +485,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             for lo in range(0, len(raw), 256):
                 some = raw[lo : lo + 256]
                 k, owner = part_keys(np.concatenate(some), np.cumsum([0, *map(len, some)]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(rep[lo + owner])], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.zeros(len(k), bool)), pa.array(rep[lo + owner])], ["key", "less", "rep"])
 
-    keyed = sets.select("rep", "hashes").mapInArrow(tidy(keys), "key long, rep long")
-    stars = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_stars), "a long, b long")
-    clusters = materialize(components(stars), "clusters")
+    keyed = sets.select("rep", "hashes").mapInArrow(tidy(keys), "key long, less boolean, rep long")
+    clusters = _clusters(keyed)
 
     links = cluster_links(clusters, sets, percent)
     joined = components(links)
