@@ -54,11 +54,13 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == brute.near_duplicates(enumerate(rows), 3, 90)
 
 
-def test_what_pivots_leave_is_searched_too(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_what_pivots_leave_is_searched_too(spark, monkeypatch, few):
     """Chains of near copies and unlike texts that share parts, in one cluster."""
     rng = random.Random(18)
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
     monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "FEW_TASKS", few)
     sets, texts = [], []
     for _ in range(12):
         text = sentence(rng, 60)

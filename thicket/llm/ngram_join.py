@@ -436,9 +436,15 @@ def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFra
     # Large clusters of several components are dealt anew by stricter keys.
     parts = components(first).select(F.col("node").alias("rep"), F.col("root").alias("part"))
     known = materialize(large.join(parts, "rep", "left").select("root", "rep", F.coalesce("part", "rep").alias("part")), "parts")
-    mixed = known.groupBy("root").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("root")
-    close = _finer(known.join(mixed, "root").select("rep").join(sets.hint("merge"), "rep"), percent)
-    known = known.drop("root").join(close.withColumnRenamed("node", "rep"), "rep")
+    # Where few rows would be searched as they are, dealing anew costs more.
+    per = known.groupBy("root", "part").count().groupBy("root").agg(F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("rest"))
+    rows = per.where("rest > 0").agg(F.sum(F.col("rest") * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.ceil(F.col("rest") / BLOCK))).first()[0] or 0
+    if rows > FEW_TASKS:
+        mixed = per.where("rest > 0").select("root")
+        close = _finer(known.join(mixed, "root").select("rep").join(sets.hint("merge"), "rep"), percent)
+        known = known.drop("root").join(close.withColumnRenamed("node", "rep"), "rep")
+    elif not rows:
+        return first
     known = materialize(known.join(_blocks(known), "root"), "parts")
     # What the cluster's largest component does not hold meets all the rest.
     most = known.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("most"))
