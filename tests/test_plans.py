@@ -5,7 +5,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import assert_same
 from thicket import catalogs as cat
+from thicket import engine_queries  # noqa: F401  registers its queries
+from thicket import queries as q
 from thicket.model import FindRequest, OverviewRequest, SafeError, Scope
 from thicket.operators import search, shape
 from thicket.plans.engine import Engine, duration
@@ -29,6 +32,19 @@ def test_a_budget_is_a_top_k_of_each_task(spark, sf):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_references_broadcast_no_table_of_the_workspace(spark, sf):
+    """Rows made by a generator look few to Spark: no limit on what it takes for
+    small may decide that files, symbols or references go through the driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        for name in ("engine_references", "engine_property_references", "reference_candidate_evidence"):
+            found = q.QUERIES[name](spark, sf)
+            assert "Broadcast" not in plan_of(found), name
+            assert_same(found.toPandas(), q.ORACLES[name], sf)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_requests_are_stopped_in_time(spark, sf):
     assert [duration(x) for x in (360, 5, 3661)] == ["6m0s", "5s", "1h1m1s"]
     symbols = cat.stored_orders(spark, sf)

@@ -232,7 +232,7 @@ class Engine:
         rows = self.property_references.where((F.col("declared_file") == own.file) & (F.col("property") == property_target(own.name_path)))
         rows = rows.where(~((F.col("file") == own.file) & (F.col("line") == own.first_line))).select("file", "line").distinct()
         held = references.smallest_by_lines(rows.withColumn("ref_id", F.xxhash64("file", "line")), self.symbols.where(F.col("depth") <= PROPERTY_DEPTH), request.include_kinds, request.exclude_kinds)
-        held = held.join(self.files.select("file", F.col("content").alias("_text")), "file")
+        held = held.join(self.files.select("file", F.col("content").alias("_text")).hint("merge"), "file")
         held = held.withColumns({"content": physical_line(F.col("_text"), F.col("line")), "content_start": F.col("line"), "content_end": F.col("line"), "char": F.lit(0)}).drop("_text")
         return combine.append_missing(found, references.grouped(held, ["content_start", "content_end", "content"]), ["file", "name_path"])
 
